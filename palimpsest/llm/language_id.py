@@ -22,6 +22,7 @@ PROFILE_SIZE = 400
 UNDETERMINED = "und"
 #: Letters are at most 21 bits, so three fit a signed 64-bit integer.
 _BITS = 21
+_HELD_LETTERS = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -62,20 +63,41 @@ def ranked(codes: np.ndarray, size: int) -> np.ndarray:
     return found[np.lexsort((found, -counts))][:size]
 
 
+class GramCounts:
+    """Counts of n-grams, summed whenever ``_HELD_LETTERS`` letters have been gathered."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+        self.found, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, codes: np.ndarray) -> None:
+        self.parts.append(codes)
+        self.held += len(codes)
+        if self.held > _HELD_LETTERS:
+            self.summed()
+
+    def summed(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.held:
+            found, counts = np.unique(ngrams(np.concatenate(self.parts)), return_counts=True)
+            self.found, at = np.unique(np.concatenate((self.found, found)), return_inverse=True)
+            self.counts = np.bincount(at, weights=np.concatenate((self.counts, counts))).astype(np.int64)
+        self.parts, self.held = [], 0
+        return self.found, self.counts
+
+
 def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, np.ndarray]:
     """Profiles from all rows of (text, lang) with a lang: whole texts are counted, partial counts
     are summed by (lang, n-gram), and only ``size`` n-grams of each language come to the driver."""
 
     def counted(batches):
+        sums: dict[str, GramCounts] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), langs, strict=True):
-                if text:
-                    by.setdefault(lang, []).append(letter_codes(text))
-            for lang, parts in by.items():
-                found, counts = np.unique(ngrams(np.concatenate(parts)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            for text, lang in zip(batch.column(0), batch.column(1), strict=True):
+                sums.setdefault(lang.as_py(), GramCounts()).add(letter_codes(text.as_py()))
+        for lang, own in sums.items():
+            found, counts = own.summed()
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sums = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
