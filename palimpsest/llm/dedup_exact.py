@@ -142,7 +142,7 @@ def exact_dedup(keyed: DataFrame, known_until: int | None) -> DataFrame:
     """Decides for every document of ``keyed`` (see digests()). Documents with
     doc_id <= known_until are the history, the others (and null doc_ids) arrive.
 
-    Returns doc_id, digest, keep_id, group_size (rows, repeats counted), kept. The largest
+    Returns doc_id, digest, copies, keep_id, group_size (rows, repeats counted), kept. The largest
     doc_id of equal texts stays; where all of them are null, keep_id is null and none is lost:
     kept is then true. An empty table gives an empty result."""
     old = F.coalesce(F.col("doc_id") <= F.lit(known_until).cast("long"), F.lit(False))
@@ -155,7 +155,7 @@ def exact_dedup(keyed: DataFrame, known_until: int | None) -> DataFrame:
     old_groups = history.join(fresh_groups.select("digest"), "digest", "left_anti").select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
     groups = fresh_groups.unionByName(old_groups)
     out = keyed.join(groups, "digest", "left")
-    return out.select("doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return out.select("doc_id", "digest", "copies", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"))
 
 
 def middle_id(docs: DataFrame) -> int | None:

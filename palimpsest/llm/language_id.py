@@ -133,8 +133,9 @@ class RankDistance:
         return self.names[best], float(1 - costs[best] / (self.size * len(own)))
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], size: int = PROFILE_SIZE) -> DataFrame:
-    """Columns ``keep`` of docs, lang_pred and score (1: the ranks agree, 0: nothing in common).
+def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], size: int = PROFILE_SIZE, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of docs and, under ``names``, the language and a score (1: the ranks
+    agree, 0: nothing in common). Other columns may have any names.
 
     A null text, or one without letters, is ``und`` with score 0, and so is all where nothing was
     learned. Whole texts are read; repeated rows are answered alike."""
@@ -142,13 +143,14 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: lis
     def predicted(batches):
         model = RankDistance(profiles, size)
         for batch in batches:
-            out = [model.predict(x) for x in batch.column(0).to_pylist()]
-            arrays = [*batch.columns[1:], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score"])
-
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    kept = rows.drop("_text").schema
-    schema = kept.add("lang_pred", "string").add("score", "double")
+            out = [model.predict(x.as_py()) for x in batch.column(at)]
+            arrays = [*batch.columns[len(own) :], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*keep, *names])
+
+    own = [] if "text" in keep else [F.col("text").cast("string").alias("_text")]
+    at = 0 if own else keep.index("text")
+    rows = docs.select(*own, *keep)
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(predicted, schema)
 
 
