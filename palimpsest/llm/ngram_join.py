@@ -1,10 +1,12 @@
 """Jaccard self-join on word shingles, with a count-vector R-tree.
 
 A document's set holds its distinct five-word shingles; equal sets form a class, and all work is
-on classes. Each shingle is hashed into one of ``GROUPS`` groups, and a class is the point of its
-group counts. Two classes share at most the sum over groups of the smaller count, so the R-tree,
-whose nodes keep the largest counts and the smallest size below them, passes over every node whose
-bound is too small; pairs of points that survive are verified on the full sets.
+on classes. Each shingle is hashed into a group, and a class is the point of its group counts. Two
+classes share at most the sum over groups of the smaller count, so the R-tree, whose nodes keep the
+largest counts and the smallest size below them, passes over every node whose bound is too small;
+pairs of points that survive are verified on the full sets. A set of n shingles has about n / 4
+groups, as the bound of unrelated sets would otherwise rise with their size; points with twice as
+many groups are folded, by adding neighbours, to be compared with others.
 
 Which points an R-tree holds: a pair at the threshold shares a shingle among the first
 n - ceil(0.75 n) + 1 of either set under any fixed order of shingles, rare ones first. Classes
@@ -31,7 +33,8 @@ from palimpsest.llm.common import components, materialize, parts_for, table
 WORDS = 5
 #: Linked when SHARED * |A and B| >= SIZES * (|A| + |B|), which is 100 * both >= 75 * either.
 SHARED, SIZES = 7, 3
-GROUPS = 64
+#: Groups of a set: a power of two, at least LEAST_GROUPS and at least a fourth of its size.
+LEAST_GROUPS = 64
 LEAF = 16
 BLOCK = 2048
 #: Members of groups that one task joins, about.
@@ -64,8 +67,24 @@ def class_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles))).view(np.int64))
 
 
+def groups_for(n: int) -> int:
+    return max(LEAST_GROUPS, 1 << (-(-n // 4) - 1).bit_length())
+
+
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4")
+    """Group counts, as bytes; in the odd case that a group has over 255, there are more groups."""
+    groups = groups_for(len(shingles))
+    while True:
+        shift = np.uint64(65 - groups.bit_length())
+        counts = np.bincount((shingles >> shift).astype(np.int64), minlength=groups)
+        if counts.max(initial=0) < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of ``groups`` groups, from one vector or rows of them with as many or more."""
+    return vectors.reshape(*vectors.shape[:-1], groups, -1).sum(axis=-1, dtype=np.int32)
 
 
 def _sets(batch, seen: set[int]):
@@ -146,20 +165,23 @@ def _leaders(batches):
         yield _record(["leader", "cls"], [pa.int64(), pa.int64()], (found[:, 0], found[:, 1]))
 
 
-def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(x) for x in column), dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+def may_link(va: np.ndarray, na, vb: np.ndarray, nb) -> np.ndarray:
+    """Whether the summed coordinate minima leave room for a link."""
+    return SHARED * np.minimum(va, vb).sum(axis=-1, dtype=np.int64) >= SIZES * (na + nb)
 
 
-def may_link(va: np.ndarray, na: np.ndarray, vb: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether the summed coordinate minima leave room for a link."""
-    return SHARED * np.minimum(va, vb).sum(axis=-1) >= SIZES * (na + nb)
+def pair_may_link(va: np.ndarray, na: int, vb: np.ndarray, nb: int) -> bool:
+    if SHARED * min(na, nb) < SIZES * (na + nb):
+        return False
+    groups = min(len(va), len(vb))
+    return bool(may_link(folded(va, groups), na, folded(vb, groups), nb))
 
 
 class CountTree:
     """An R-tree over count vectors, bulk-loaded by sorting and tiling."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
-        spread = np.argsort(-vectors.var(axis=0), kind="stable")[:2]
+        spread = np.argsort(-vectors.var(axis=0), kind="stable")[:2]  # the widest coordinates
         slab = np.argsort(np.argsort(sizes, kind="stable")) // max(LEAF * LEAF, int(len(sizes) ** 0.75))
         order = np.lexsort((vectors[:, spread[1]], vectors[:, spread[0]], slab))
         self.order, self.vectors, self.sizes, self.labels = order, vectors[order], sizes[order], labels[order]
@@ -183,22 +205,31 @@ class CountTree:
         return self.order[nodes[ok]]
 
 
-def tree_join(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Pairs (i, j), i < j, with different labels that may link."""
+def tree_join(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Pairs of positions with different labels that may link. Sizes of linked sets differ by less
+    than a factor of two, so points meet those with as many groups and those with half as many."""
     out = []
-    if len(sizes) > 1:
-        tree = CountTree(vectors, sizes, labels)
-        for i in range(len(sizes)):
-            found = tree.search(vectors[i], sizes[i], labels[i])
-            out.extend((i, int(j)) for j in found[found > i])
+    groups = np.array([len(x) for x in vectors])
+    for level in np.unique(groups):
+        at = np.flatnonzero(groups == level)
+        tree = CountTree(np.stack([vectors[i] for i in at]).astype(np.int32), sizes[at], labels[at])
+        for i in at:
+            found = at[tree.search(vectors[i], sizes[i], labels[i])]
+            out.extend((i, j) for j in found[found > i])
+        for i in np.flatnonzero(groups > level):
+            if SHARED * sizes[at].max() >= SIZES * (sizes[at].max() + sizes[i]):
+                found = at[tree.search(folded(vectors[i], level), sizes[i], labels[i])]
+                out.extend((i, j) for j in found)
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def middle_pairs(vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def middle_pairs(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Pairs of the point nearest to the mean with those of other labels that may link with it."""
-    middle = int(np.abs(vectors - vectors.mean(axis=0)).sum(axis=1).argmin())
-    found = np.flatnonzero(may_link(vectors, sizes, vectors[middle], sizes[middle]) & (labels != labels[middle]))
-    return np.stack((np.full(len(found), middle), found), axis=1)
+    flat = np.stack([folded(x, LEAST_GROUPS) for x in vectors])
+    middle = int(np.abs(flat - flat.mean(axis=0)).sum(axis=1).argmin())
+    near = np.flatnonzero(may_link(flat, sizes, flat[middle], sizes[middle]) & (labels != labels[middle]))
+    found = [i for i in near if pair_may_link(vectors[i], sizes[i], vectors[middle], sizes[middle])]
+    return np.array([(middle, i) for i in found], dtype=np.int64).reshape(-1, 2)
 
 
 def _joined(groups: DataFrame, info: DataFrame, labels: DataFrame | None, find, pairs_of_blocks: bool) -> DataFrame:
@@ -222,11 +253,11 @@ def _joined(groups: DataFrame, info: DataFrame, labels: DataFrame | None, find,
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["leader", "i", "j", "cls"], ignore_index=True)
-        vectors, sizes = _vectors(pdf["vec"]), pdf["n"].to_numpy()
+        vectors, sizes = [np.frombuffer(x, dtype=np.uint8) for x in pdf["vec"]], pdf["n"].to_numpy()
         cls, labels = pdf["cls"].to_numpy(), pdf["label"].to_numpy()
         out = [np.zeros((0, 2), dtype=np.int64)]
         for at in pdf.groupby(["leader", "i", "j"], sort=False).indices.values():
-            found = find(vectors[at], sizes[at], labels[at])
+            found = find([vectors[i] for i in at], sizes[at], labels[at])
             out.append(cls[at[found]].reshape(-1, 2))
         pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -243,7 +274,8 @@ def _star_pairs(groups: DataFrame, info: DataFrame) -> DataFrame:
         for batch in batches:
             a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
             if len(a):
-                ok = may_link(_vectors(batch.column(4).to_pylist()), na, _vectors(batch.column(5).to_pylist()), nb)
+                vectors = zip(batch.column(4), batch.column(5), strict=True)
+                ok = np.array([pair_may_link(np.frombuffer(x.as_py(), dtype=np.uint8), m, np.frombuffer(y.as_py(), dtype=np.uint8), n) for (x, y), m, n in zip(vectors, na, nb, strict=True)])
                 yield _record(["a", "b"], [pa.int64(), pa.int64()], (np.minimum(a, b)[ok], np.maximum(a, b)[ok]))
 
     return rows.mapInArrow(bounded, "a long, b long")
