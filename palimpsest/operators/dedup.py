@@ -92,9 +92,9 @@ def fold(facts: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
         for x in inserts:
             x["embedding"] = x.pop("vector").astype(np.float32).tolist()
         names = [x.split(" ")[0] for x in _OUTCOME.split(", ")]
-        out = pd.DataFrame([*inserts, *matched.values()], columns=names)
-        out[_SCOPE] = list(key)
-        return out
+        scope = dict(zip(_SCOPE, key, strict=True))
+        rows = [[(x | scope).get(n) for n in names] for x in (*inserts, *matched.values())]
+        return pd.DataFrame(rows, columns=names, dtype=object)
 
     return facts.groupBy(*_SCOPE).applyInPandas(step, _OUTCOME)
 

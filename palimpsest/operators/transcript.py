@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def transcripts(rows: DataFrame, target_peer: str) -> DataFrame:
     entry = F.to_json(F.struct(F.when(F.col("target"), F.col("id")).alias("id"), F.col("peer").alias("speaker"), F.when(F.col("target"), "target").otherwise("context").alias("role"), F.col("content")))
     lists = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", entry.alias("entry")))).alias("x"))
     body = F.array_join(F.transform("x", lambda x: x["entry"]), ",")
-    return lists.select("session", F.concat(F.lit('{"target_peer":'), F.to_json(F.struct(F.lit(target_peer).alias("p"))).substr(F.lit(6), F.lit(len(target_peer) + 2)), F.lit(',"messages":['), body, F.lit("]}")).alias("transcript"))
+    head = f'{{"target_peer":{json.dumps(target_peer, ensure_ascii=False)},"messages":['
+    return lists.select("session", F.concat(F.lit(head), body, F.lit("]}")).alias("transcript"))
 
 
 def instructions(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The filter language: a JSON object becomes one boolean column.
 
-Logic is two-valued: an operator is false for a value that isn't set, ``ne`` and NOT are true.
+Logic is two-valued: an operator is false for a value that isn't set, ``ne`` and NOT are true. The
+column may be null where it stands for false, which is the same to ``where``; only what is negated
+is made false first, so that all other conditions can be pushed down to the scan.
 """
 
 from __future__ import annotations
@@ -49,8 +51,6 @@ RESOURCES: dict[str, dict[str, Field]] = {
     "conclusion": {"id": Field("text", "id"), "observer_id": Field("text", "observer"), "observed_id": Field("text", "observed"), "session_id": Field("text", "session"), "created_at": Field("time", "created_at")},
 }
 
-TRUE, FALSE = F.lit(True), F.lit(False)
-
 
 def compile_filter(request: str | None, resource: str) -> Column:
     """The condition of a filter's JSON text; null, blank, ``null`` and ``{}`` match all. Fields
@@ -83,7 +83,7 @@ def _object(node: dict, fields: dict[str, Field]) -> Column:
             if not isinstance(value, list) or not all(isinstance(x, dict) for x in value):
                 raise FilterError(f"{key} takes a list of filter objects")
             children = [_object(x, fields) for x in value]
-            parts.append(_all(children) if key == "AND" else _any(children) if key == "OR" else ~_any(children))
+            parts.append(_all(children) if key == "AND" else _any(children) if key == "OR" else _not(_any(children)))
         elif key in fields:
             parts.append(_metadata(value, fields[key].column) if fields[key].type == "meta" else _field(key, fields[key], value))
     return _all(parts)
@@ -96,13 +96,21 @@ def _known(condition: Column) -> Column:
 def _on(field: Field, test: Callable[[Column], Column]) -> Column:
     """Whether the field's value, or some active member, passes."""
     if not field.members:
-        return _known(test(F.col(field.column)))
-    return _known(F.exists(field.column, lambda x: x["active"] & _known(test(x["peer"]))))
+        return test(F.col(field.column))
+    return F.exists(field.column, lambda x: x["active"] & _known(test(x["peer"])))
+
+
+def _not(condition: Column) -> Column:
+    return ~_known(condition)
+
+
+def _unset(field: Field) -> Column:
+    return _not(_on(field, Column.isNotNull)) if field.members else F.col(field.column).isNull()
 
 
 def _field(name: str, field: Field, value) -> Column:
     if value is None:
-        return ~_on(field, Column.isNotNull)
+        return _unset(field)
     if isinstance(value, list):
         return _in(name, field, value)
     if isinstance(value, dict):
@@ -140,7 +148,7 @@ def _in(name: str, field: Field, items: list) -> Column:
     values = [_operand(name, field, x) for x in items if x is not None]
     literals = [v for v, beyond in values if not beyond]
     found = _on(field, lambda c: c.isin(literals)) if literals else F.lit(False)
-    return found | ~_on(field, Column.isNotNull) if None in items else found
+    return found | _unset(field) if None in items else found
 
 
 def _compare(name: str, field: Field, op: str, raw) -> Column:
@@ -155,7 +163,7 @@ def _compare(name: str, field: Field, op: str, raw) -> Column:
     }
     if op == "all":
         return F.lit(True)
-    return ~_on(field, tests[op]) if op == "ne" else _on(field, tests[op])
+    return _not(_on(field, tests[op])) if op == "ne" else _on(field, tests[op])
 
 
 def _operand(name: str, field: Field, raw) -> tuple[Column | None, int]:
@@ -233,6 +241,10 @@ def _equal(e: Column, operand) -> Column:
     return (e["kind"] == kind) & (e["num"] == number if kind == NUMBER else e["str"] == text)
 
 
+def _holds(e: Column, operand) -> Column:
+    return F.exists(e["el"], lambda x: _known(_equal(x, operand)))
+
+
 def _set(column: str, path: list[str]) -> Column:
     return _entry(column, path, lambda e: e["kind"] != NULL)
 
@@ -244,7 +256,7 @@ def _key(column: str, path: list[str], value) -> Column:
         if not value or len(value) > MOST_ITEMS:
             raise FilterError(f"{path}: a list of {len(value)} items")
         wanted = [_scalar(path, x) for x in value]
-        return _entry(column, path, lambda e: (e["kind"] == ARRAY) & _all([F.exists(e["el"], lambda x, w=w: _known(_equal(x, w))) for w in wanted]))
+        return _entry(column, path, lambda e: (e["kind"] == ARRAY) & _all([_holds(e, w) for w in wanted]))
     if isinstance(value, dict):
         operators = sum(k in OPERATORS for k in value)
         if not value or 0 < operators < len(value):
