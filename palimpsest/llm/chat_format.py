@@ -22,8 +22,6 @@ BEGIN, END, ROLE, ROLE_END = "<s>", "</s>", "[ROLE]", "[/ROLE]"
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]))"
 _ESCAPED = r"([<\[])(\\*)\\(/?(?:s>|INST\]|ROLE\]))"
 LOSS_ROLES = ("assistant",)
-#: Depth is below 2 to this power; beyond that, replies go in a circle.
-MOST_ROUNDS = 40
 
 
 def escape(text: Column) -> Column:
@@ -44,22 +42,25 @@ def _same(left: DataFrame, right: DataFrame, **on: str) -> Column:
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): the nodes on the way from each leaf, ``up`` steps above it. nodes:
     (tree, node, parent), node not null and unique in its tree. A parent that isn't there counts
-    as none. Raises ValueError where replies go in a circle that a leaf leads to."""
+    as none. Raises ValueError where replies go in a circle: no way up has as many steps as there are
+    nodes."""
     there = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     linked = nodes.join(there, _same(nodes, there, tree="_t") & (nodes["parent"] == there["_n"]), "left").select("tree", "node", F.col("_n").alias("parent"))
     jumps = materialize(linked, "parents")
     parents = jumps.where("parent IS NOT NULL").select(F.col("tree").alias("_t"), F.col("parent").alias("_p")).distinct()
     found = jumps.join(parents, _same(jumps, parents, tree="_t") & (jumps["node"] == parents["_p"]), "left_anti")
     found = found.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    for k in range(MOST_ROUNDS):
-        jumps = jumps.where("parent IS NOT NULL")
-        if jumps.isEmpty():
-            return found
+    most, steps = jumps.count(), []
+    while not (jumps := jumps.where("parent IS NOT NULL")).isEmpty():
+        if 1 << len(steps) >= most:
+            raise ValueError("replies go in a circle")
         step = jumps.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("parent").alias("_p"))
+        steps.append(step)
+        jumps = materialize(jumps.join(step, _same(jumps, step, tree="_t") & (jumps["parent"] == step["_n"])).select("tree", "node", F.col("_p").alias("parent")), "jumps")
+    for k, step in enumerate(steps):
         further = found.join(step, _same(found, step, tree="_t") & (found["node"] == step["_n"])).select("tree", "leaf", F.col("_p").alias("node"), (F.col("up") + (1 << k)).alias("up"))
         found = materialize(found.unionByName(further), "paths")
-        jumps = materialize(jumps.join(step, _same(jumps, step, tree="_t") & (jumps["parent"] == step["_n"])).select("tree", "node", F.col("_p").alias("parent")), "jumps")
-    raise ValueError("replies go in a circle")
+    return found
 
 
 def format_branches(messages: DataFrame, best: int | None = None, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
