@@ -144,11 +144,11 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], keep: lis
         model = RankDistance(profiles, size)
         for batch in batches:
             out = [model.predict(x.as_py()) for x in batch.column(at)]
-            arrays = [*batch.columns[len(own) :], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
+            arrays = [*batch.columns[skip:], pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *names])
 
     own = [] if "text" in keep else [F.col("text").cast("string").alias("_text")]
-    at = 0 if own else keep.index("text")
+    skip, at = len(own), 0 if own else keep.index("text")
     rows = docs.select(*own, *keep)
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     return rows.mapInArrow(predicted, schema)
