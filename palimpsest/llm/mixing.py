@@ -59,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
     """How many documents of each length to take so that their lengths sum to ``budget``, or to
-    the nearest sum below it that the last step can reach. counts: documents by length."""
+    the nearest sum that the last step can reach. counts: documents by length."""
     sizes = sorted((s for s in counts if s > 0), reverse=True)
     total = sum(s * counts[s] for s in sizes)
     taken = dict.fromkeys(sizes, 0)
@@ -77,17 +77,21 @@ def fit_budget(counts: dict[int, int], budget: int) -> dict[int, int]:
             taken[s] += n
             left -= s * n
     items: list[tuple[int, int]] = []
+    most = left + min(left, sizes[0])
     for s in sizes:
-        rest, n = min(counts[s] - taken[s], left // s), 1
+        rest, n = min(counts[s] - taken[s], most // s), 1
         while rest > 0:
             items.append((s, n := min(n, rest)))
             rest, n = rest - n, 2 * n
-    mask, reach = (1 << left + 1) - 1, [1]
+    mask, reach = (1 << most + 1) - 1, [1]
     for s, n in items:
         reach.append((reach[-1] | reach[-1] << s * n) & mask)
         if reach[-1] >> left & 1:
             break
-    at = reach[-1].bit_length() - 1
+    at = (reach[-1] & (1 << left + 1) - 1).bit_length() - 1
+    if above := reach[-1] >> left:
+        over = (above & -above).bit_length() - 1
+        at = left + over if over < left - at else at
     for i in range(len(reach) - 1, 0, -1):
         s, n = items[i - 1]
         if not reach[i - 1] >> at & 1:
