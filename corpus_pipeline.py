@@ -21,31 +21,41 @@ from palimpsest.llm.packing import pack_documents
 LEAST_SCORE = 0.2
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, rest): other columns go into a struct, so that their names can't clash."""
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(None).alias("none")]).alias("rest"))
+
+
+def laid_out(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (null and empty ones too) and those like no language."""
     profiles = learn_profiles(docs.where(~held_out("doc_id")))
-    said = predict_language(docs, profiles, docs.columns, names=("_lang", "_score"))
-    return said.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    said = predict_language(bundled(docs), profiles, ["doc_id", "text", "rest"])
+    return laid_out(said.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of those with equal texts, that with the largest doc_id."""
-    names, at = docs.columns, docs.columns.index("text")
 
     def keyed(batches):
         for batch in batches:
-            out = [hashlib.sha256((x.as_py() or b"").lower()).digest() for x in batch.column(at).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "_digest"])
+            out = [hashlib.sha256((x.as_py() or b"").lower()).digest() for x in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "text", "rest", "_digest"])
 
     answers = materialize(dedup_documents(docs), "answers")
     lost = answers.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"))
-    rows = docs.mapInArrow(keyed, StructType([*docs.schema.fields, StructField("_digest", BinaryType())]))
+    rows = bundled(docs)
+    rows = rows.mapInArrow(keyed, StructType([*rows.schema.fields, StructField("_digest", BinaryType())]))
     rows = rows.join(lost, rows["doc_id"].eqNullSafe(lost["_id"]) & (rows["_digest"] == lost["_d"]), "left_anti")
     again = answers.where("kept AND copies > 1").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"))
     if not again.isEmpty():
         same = rows["doc_id"].eqNullSafe(again["_id"]) & (rows["_digest"] == again["_d"])
         rows = rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["doc_id", "_digest"]))
-    return rows.drop("_digest")
+    return laid_out(rows, docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,14 +64,14 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     answers = jaccard_components(docs)
     stays = F.max(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
     lost = answers.groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("_id"))
-    return docs.join(lost, F.col("doc_id") == F.col("_id"), "left_anti")
+    return laid_out(bundled(docs).join(lost, F.col("doc_id") == F.col("_id"), "left_anti"), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     times = mix(docs).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    rows = bundled(docs).join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return laid_out(rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
