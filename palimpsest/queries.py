@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import keys as K
@@ -188,6 +188,30 @@ def enqueue_work(spark, sf_dir):
     return observe.enqueue(rows, people, ["room"])
 
 
+_ROOM = 16
+_ROOMS = f"""WITH {V.EVENT_MESSAGES}, {V.MEMBERSHIPS}, said AS (SELECT id, peer, CAST(peer AS BIGINT) // {_ROOM} AS room, created_at, token_count FROM event_messages),
+seen AS (SELECT s.id, m.peer FROM said s JOIN memberships m ON s.room = CAST(m.peer AS BIGINT) // {_ROOM} AND m.joined_at <= s.created_at AND (m.left_at IS NULL OR s.created_at < m.left_at) UNION SELECT id, peer FROM said),
+listed AS (SELECT id, list_sort(list(DISTINCT peer)) AS observers FROM seen GROUP BY id)"""
+
+
+def _rooms(spark, sf_dir):
+    """Every event, as a message to the room of its user; a room has the members of sixteen user ids."""
+    room = F.expr(f"CAST(peer AS BIGINT) DIV {_ROOM}").alias("room")
+    return V.event_messages(spark, sf_dir).select("*", room), V.memberships(spark, sf_dir).select("*", room, F.lit(True).alias("observe_others"))
+
+
+@query(f"{_ROOMS} SELECT id, len(observers) AS n_observers, array_to_string(observers, ',') AS observers FROM listed")
+def observer_interval_join_rooms(spark, sf_dir):
+    rows, people = _rooms(spark, sf_dir)
+    return observe.observers(rows, people, ["room"]).select("id", F.size("observers").alias("n_observers"), F.array_join("observers", ",").alias("observers"))
+
+
+@query(f"{_ROOMS} SELECT s.id, 'representation:' || s.room || ':' || s.peer AS unit, '{{\"message_id\":\"' || s.id || '\",\"observers\":[\"' || array_to_string(observers, '\",\"') || '\"]}}' AS payload, len(observers) AS n_observers, token_count FROM said s JOIN listed USING (id)")
+def enqueue_work_rooms(spark, sf_dir):
+    rows, people = _rooms(spark, sf_dir)
+    return observe.enqueue(rows, people, ["room"])
+
+
 _WORK = f"WITH {V.WORK_ITEMS}, {V.LEASES}"
 _CLAIM = f"""{_WORK}, open AS (SELECT *, min(id) FILTER (available_at > {NOW}) OVER (PARTITION BY unit) AS blocked FROM work_items WHERE status IN (0, 1)),
 claim AS (SELECT * FROM open WHERE blocked IS NULL OR id < blocked), taken AS (SELECT unit FROM leases WHERE expires_at >= {NOW}),
@@ -355,6 +379,17 @@ def fact_routing(spark, sf_dir):
     return transcript.route_facts(facts, seen)
 
 
+@query(f"""{_ROOMS}, facts AS (SELECT id AS fact_id, id AS s1, lead(id) OVER (PARTITION BY room ORDER BY CAST(id AS BIGINT)) AS s2 FROM said),
+u AS (SELECT id, unnest(observers) AS observer FROM listed)
+SELECT fact_id, x.observer FROM facts JOIN u x ON x.id = s1 JOIN u y ON y.id = s2 AND x.observer = y.observer""")
+def fact_routing_rooms(spark, sf_dir):
+    """A fact for each message and the next one in its room."""
+    rows, people = _rooms(spark, sf_dir)
+    after = F.lead("id").over(Window.partitionBy("room").orderBy(F.col("id").cast("bigint")))
+    facts = rows.select(F.col("id").alias("fact_id"), after.alias("next")).where("next IS NOT NULL").select("fact_id", F.array("fact_id", "next").alias("source_ids"))
+    return transcript.route_facts(facts, observe.observers(rows, people, ["room"]))
+
+
 @query()
 def dedup_fold(spark, sf_dir):
     """Facts are the odd documents, matched with the even ones of the same source and language."""
