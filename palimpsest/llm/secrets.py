@@ -2,8 +2,10 @@
 
 Candidates are found by patterns. The hash of each candidate's value is counted over the corpus by
 distinct documents (repositories) and distinct sources (owners): a value in the hands of
-``SHARED_OWNERS`` or more owners is a widely copied example, one that fewer have and that looks
-like a random key is taken for a live credential of its owner. Only DataFrame functions are used;
+``SHARED_OWNERS`` or more owners, or in ``SHARED_DOCUMENTS`` or more documents, is a widely copied
+example; one that fewer have and that looks like a random key is taken for a live credential of its
+owner. op9_secret_scan decides by owners alone, as its SQL does; op9_secret_scan_repositories
+decides by both. Only DataFrame functions are used;
 texts stay in the scan, and only candidates, as positions and hashes, are shuffled.
 """
 
@@ -22,6 +24,8 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 KINDS = ("assign", "access", "hex", "example", "live")
 SHARED_OWNERS = 3
+#: A live credential may stand in a few documents of its owner; one in so many is copied text.
+SHARED_DOCUMENTS = 10
 #: A live-looking value has at least so many characters, letters and digits, and no placeholder word.
 LIVE_LEAST = 16
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{4,}|\*{3,}|0{8,}|12345678"
@@ -56,20 +60,24 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["first"].cast("string"), x["last"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS, shared_documents: int | None = SHARED_DOCUMENTS) -> DataFrame:
     """(doc_id, base, added) for every row of docs (doc_id, source, text): arrays of spans.
 
     ``added`` has a span over a candidate's value: ``example`` where ``shared_owners`` or more
-    sources have the value, ``live`` where fewer do and it looks like a key; a value found by two
-    patterns is added once. A null text is empty and has no spans; a null source is an owner like
-    any other. Repeated rows are scanned one by one and count as one repository."""
+    sources or ``shared_documents`` or more distinct doc_ids have the value (None: sources alone),
+    ``live`` where fewer do and it looks like a key; a value found by two patterns is added once. A
+    null text is empty and has no spans; a null source is an owner and a null doc_id a repository
+    like any other. Repeated rows are scanned one by one and count as one repository."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     slim = F.transform(base_spans(F.col("text")), lambda x: F.struct(x["first"], x["kind"], x["last"], x["start"], F.sha2(x["value"], 256).alias("digest"), _live_looking(x["value"]).alias("live")))
     found = materialize(rows.select("row", "doc_id", "owner", slim.alias("base")), "candidates")
     each = found.where(F.size("base") > 0).select("row", "doc_id", "owner", F.explode("base").alias("x"))
     each = each.select("row", "doc_id", "owner", "x.start", "x.last", "x.digest", "x.live")
-    owned = each.groupBy("digest", "owner").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias("owners"))
-    kinds = each.join(owned, "digest").withColumn("kind", F.when(F.col("owners") >= shared_owners, 3).when(F.col("live"), 4)).where("kind IS NOT NULL")
+    counted = lambda key, name: each.groupBy("digest", key).agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias(name))
+    owned, shared = counted("owner", "owners"), F.col("owners") >= shared_owners
+    if shared_documents is not None:
+        owned, shared = owned.join(counted("doc_id", "repositories"), "digest"), shared | (F.col("repositories") >= shared_documents)
+    kinds = each.join(owned, "digest").withColumn("kind", F.when(shared, 3).when(F.col("live"), 4)).where("kind IS NOT NULL")
     spans = kinds.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), F.col("kind").cast("int").alias("kind"), F.col("last").alias("last")))).alias("added"))
     base = F.transform("base", lambda x: F.struct(x["first"].alias("first"), x["kind"].alias("kind"), x["last"].alias("last"))).alias("base")
     none = F.array().cast("array<struct<first:int,kind:int,last:int>>")
@@ -82,13 +90,20 @@ def _live_looking(value: Column) -> Column:
     return (F.length(value) >= LIVE_LEAST) & F.regexp_like(value, F.lit("[A-Za-z]")) & F.regexp_like(value, F.lit("[0-9]")) & ~F.regexp_like(value, F.lit(PLACEHOLDER))
 
 
-def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+def _listed(out: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     text = _joined(F.array_sort(F.concat("base", "added")))
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(scan(table(spark, sf_dir, "documents", "doc_id", "source", "text"), shared_documents=None))
+
+
+def op9_secret_scan_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(scan(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
+
+
 def _sql_spans(kind: str, order: int, pattern: str, group: int, least: int) -> str:
     pattern = pattern.replace("'", "''")
     return f"""
@@ -112,3 +127,6 @@ lists AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN lists USING (doc_id)
 """
+
+OP9_REPOSITORIES_SQL = OP9_SQL.replace("count(DISTINCT owner) AS owners", "count(DISTINCT owner) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories")
+OP9_REPOSITORIES_SQL = OP9_REPOSITORIES_SQL.replace(f"owners >= {SHARED_OWNERS}", f"(owners >= {SHARED_OWNERS} OR repositories >= {SHARED_DOCUMENTS})")
