@@ -29,10 +29,11 @@ def duplicate_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def exact_matches(facts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """For each fact (fact_id, keys, content) the oldest row (id, keys, content) with the same
-    keys and the very same text."""
-    left = facts.select("fact_id", *keys, "content", content_hash(F.col("content")).alias("h")).alias("l")
-    right = rows.select("id", *keys, "content", content_hash(F.col("content")).alias("h")).alias("r")
-    same = (F.col("l.h") == F.col("r.h")) & (F.col("l.content") == F.col("r.content"))
+    keys and the very same text. A text is known by the SHA-256 of its bytes; the oldest row of
+    each is found before the join, so that copies don't meet as pairs."""
+    left = facts.select("fact_id", *keys, F.sha2("content", 256).alias("h")).alias("l")
+    right = rows.select("id", *keys, F.sha2("content", 256).alias("h")).groupBy(*keys, "h").agg(F.min("id").alias("id")).alias("r")
+    same = F.col("l.h") == F.col("r.h")
     for k in keys:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     return left.join(right, same).groupBy("l.fact_id").agg(F.min("r.id").alias("id"))

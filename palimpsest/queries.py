@@ -164,6 +164,12 @@ def exact_match_oldest(spark, sf_dir):
     return dedup.exact_matches(rows.where("id % 2 = 1").withColumnRenamed("id", "fact_id"), rows, ["session"])
 
 
+@query(f"WITH {V.TEXT_CONCLUSIONS}, oldest AS (SELECT session, content, min(id) AS id FROM text_conclusions GROUP BY session, content) SELECT f.id AS fact_id, min(o.id) AS id FROM text_conclusions f JOIN oldest o ON f.content = o.content AND f.session IS NOT DISTINCT FROM o.session GROUP BY f.id")
+def exact_match_oldest_all(spark, sf_dir):
+    rows = V.text_conclusions(spark, sf_dir)
+    return dedup.exact_matches(rows.withColumnRenamed("id", "fact_id"), rows, ["session"])
+
+
 _OBSERVERS = f"""WITH {V.EVENT_MESSAGES}, {V.MEMBERSHIPS}, clicks AS (SELECT id, peer, created_at, token_count FROM event_messages WHERE session = 'purchase' AND CAST(id AS BIGINT) % 50 = 0),
 seen AS (SELECT c.id, m.peer FROM clicks c JOIN memberships m ON m.joined_at <= c.created_at AND (m.left_at IS NULL OR c.created_at < m.left_at) UNION SELECT id, peer FROM clicks),
 listed AS (SELECT id, list_sort(list(DISTINCT peer)) AS observers FROM seen GROUP BY id)"""

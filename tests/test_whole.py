@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 
+from palimpsest.operators import dedup
 from palimpsest.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +27,22 @@ def test_every_event_has_its_observers(spark):
     assert {r["id"] for r in QUERIES["enqueue_work_rooms"](spark, SF).collect()} == set(want)
     facts = {(str(a), o) for ids in rooms.values() for a, b in zip(sorted(ids), sorted(ids)[1:], strict=False) for o in want[str(a)] & want[str(b)]}
     assert {(r["fact_id"], r["observer"]) for r in QUERIES["fact_routing_rooms"](spark, SF).collect()} == facts
+
+
+def test_every_document_is_asked_for_its_oldest_copy(spark):
+    docs = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "lang", "text"]).to_pylist()
+    oldest = {}
+    for d in docs:
+        k = (d["lang"], d["text"] or "")
+        oldest[k] = min(d["doc_id"], oldest.get(k, d["doc_id"]))
+    got = {r["fact_id"]: r["id"] for r in QUERIES["exact_match_oldest_all"](spark, SF).collect()}
+    assert got == {d["doc_id"]: oldest[d["lang"], d["text"] or ""] for d in docs}
+
+
+def test_copies_do_not_meet_as_pairs(spark):
+    frame = spark.sql("SELECT id, if(id = 0, NULL, 's') AS session, if(id = 5, NULL, 'copy') AS content FROM range(3000)")
+    found = dedup.exact_matches(frame.withColumnRenamed("id", "fact_id"), frame, ["session"])
+    assert [tuple(r) for r in found.groupBy("id").count().orderBy("id").collect()] == [(0, 1), (1, 2998)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join"):]
+    assert "min(id" in join  # each side's copies are one row before they are joined
