@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import content_hash
-from palimpsest.operators.search import nearest
+from palimpsest.operators import search
 
 MAX_DISTANCE = 0.05
 _WORD = re.compile(r"[^\W_]+")
@@ -46,7 +47,7 @@ def match_existing(facts: DataFrame, rows: DataFrame, most: float = MAX_DISTANCE
     exact = exact_matches(facts, rows, _SCOPE).withColumnRenamed("id", "exact_id")
     left = facts.join(exact, "fact_id", "left")
     probes = left.where("exact_id IS NULL").select(F.col("fact_id").alias("probe"), *_SCOPE, "embedding")
-    near = nearest(probes, rows.where("embedding IS NOT NULL"), _SCOPE, most).select(F.col("probe").alias("fact_id"), F.col("id").alias("near_id"))
+    near = search.nearest(probes, rows.where("embedding IS NOT NULL"), _SCOPE, most).select(F.col("probe").alias("fact_id"), F.col("id").alias("near_id"))
     left = left.join(near, "fact_id", "left").withColumn("match_id", F.coalesce("exact_id", "near_id")).drop("exact_id", "near_id")
     return left.join(rows.select(F.col("id").alias("match_id"), F.col("content").alias("match_content")), "match_id", "left")
 
@@ -59,45 +60,104 @@ def is_richer(new: str, old: str) -> bool:
 def _same(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], most: float) -> bool:
     if a[0] == b[0]:
         return True
+    if len(a[1]) != len(b[1]):
+        return False
     norm = float(a[1] @ a[1]) * float(b[1] @ b[1])
     return bool(norm) and 1 - float(a[1] @ b[1]) / norm**0.5 <= most
 
 
+def _held(frame: DataFrame) -> DataFrame:
+    """The same rows, computed once, in the folder that all executors share; without one, in a
+    local session, its only executor keeps them."""
+    folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return frame.localCheckpoint()
+    path = f"{folder}/palimpsest/fold-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of links (a, b): the least node that each one reaches."""
+    both = _held(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, before = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), None
+    while True:
+        labels = _held(labels)
+        now = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("x")).first()["x"]
+        if now == before:
+            return labels
+        before = now
+        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
+        least = labels.unionByName(near).groupBy("node").agg(F.min("label").alias("label"))
+        jump = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = least.join(jump, "label").select("node", F.least("label", "next").alias("label"))
+
+
+def _richest(matched: DataFrame) -> DataFrame:
+    """corroborate or replace for each matched conclusion. Only texts that are richer than the
+    conclusion's own can replace it, each of them once: whatever is the best then, is at least as
+    rich as when the text first came."""
+    richer = F.pandas_udf(lambda a, b: pd.Series([is_richer(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
+    keys = ["_scope", "match_id"]
+    base = matched.groupBy(*keys, *_SCOPE).agg(F.min("position").alias("position"))
+    new = matched.where(richer("content", "match_content")).groupBy(*keys, F.sha2("content", 256).alias("_h")).agg(F.min_by(F.struct("position", "content", "embedding", "match_content"), "position").alias("x"))
+
+    def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        best = None
+        for row in pdf.sort_values("position").to_dict("records"):
+            if is_richer(row["content"], row["match_content"] if best is None else best["content"]):
+                best = row
+        return pd.DataFrame([[*key, best["content"], best["embedding"]]], columns=["_scope", "match_id", "content", "embedding"])
+
+    best = new.select(*keys, "x.*").groupBy(*keys).applyInPandas(step, f"_scope string, match_id {matched.schema['match_id'].dataType.simpleString()}, content string, embedding array<float>")
+    out = base.join(best.withColumn("_new", F.lit(True)), keys, "left")
+    new_vector = F.when(F.col("_new"), F.coalesce("embedding", F.array().cast("array<float>")))
+    return out.select(*_SCOPE, "position", F.when(F.col("_new"), "replace").otherwise("corroborate").alias("outcome"), F.col("match_id").cast("string").alias("id"), "content", new_vector.alias("embedding"), F.lit(None).cast("array<string>").alias("source_ids"))
+
+
 def fold(facts: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
     """What a batch of matched facts (match_existing(), with position and source_ids) does to each
     scope: rows with outcome insert, corroborate (id) or replace (id, content, embedding).
 
     Facts are taken by position. A matched conclusion counts once; the richest content replaces
     its own. A fact without a match joins the first pending one that is the same, whose sources
-    take in its own and whose content gives way to a richer one. The order matters and likeness
-    isn't transitive, so a scope's facts of one batch, which are few, go through one task."""
+    take in its own and whose content gives way to a richer one. source_ids are distinct.
+
+    A pending fact's content and vector are always those of one of the facts, so facts meet only
+    if links of equal texts and near vectors connect them. Texts that no link leaves are folded by
+    aggregates; the order matters, and likeness isn't transitive, only among facts that links
+    connect, and each such group goes through one task."""
+    facts = _held(facts.withColumn("_scope", F.to_json(F.struct(*_SCOPE))))
+    waiting = facts.where("match_id IS NULL").withColumn("node", F.concat_ws(" ", F.sha2("_scope", 256), F.coalesce(F.sha2("content", 256), F.lit("-"))))
+    vectors = _held(waiting.groupBy("_scope", "node", "embedding").agg(F.lit(1).alias("one")))
+    labels = _components(search.linked(vectors, ["_scope"], most, "node"))
+    several = vectors.groupBy("node").agg(F.count("one").alias("n")).where("n > 1").select("node", F.col("node").alias("label"))
+    groups = _held(labels.unionByName(several.join(labels, "node", "left_anti")))
+    alone = waiting.join(groups, "node", "left_anti").groupBy("node", *_SCOPE).agg(F.min("position").alias("position"), F.first("content").alias("content"), F.first("embedding").alias("embedding"), F.array_sort(F.collect_list(F.struct("position", "source_ids"))).alias("x"))
+    none = F.array().cast("array<string>")
+    sources = F.array_distinct(F.flatten(F.transform("x", lambda x: F.coalesce(x["source_ids"], none))))
+    alone = alone.select(*_SCOPE, "position", F.lit("insert").alias("outcome"), F.lit(None).cast("string").alias("id"), "content", F.coalesce("embedding", F.array().cast("array<float>")).alias("embedding"), sources.alias("source_ids"))
 
     def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         inserts: list[dict] = []
-        matched: dict[str, dict] = {}
         for row in pdf.sort_values("position").to_dict("records"):
             vector = np.array([] if row["embedding"] is None else row["embedding"], dtype=np.float64)
             sources = [] if row["source_ids"] is None else list(row["source_ids"])
-            if row["match_id"] is not None:
-                old = matched.setdefault(row["match_id"], {"outcome": "corroborate", "id": row["match_id"], "position": row["position"], "best": row["match_content"]})
-                if is_richer(row["content"], old["best"]):
-                    old.update(outcome="replace", content=row["content"], embedding=vector.astype(np.float32).tolist(), best=row["content"])
-                continue
             held = next((x for x in inserts if _same((x["content"], x["vector"]), (row["content"], vector), most)), None)
             if held is None:
-                inserts.append({"outcome": "insert", "position": row["position"], "content": row["content"], "vector": vector, "source_ids": sources})
+                inserts.append({"outcome": "insert", "position": row["position"], "content": row["content"], "vector": vector, "source_ids": dict.fromkeys(sources)})
                 continue
-            held["source_ids"] += [x for x in sources if x not in held["source_ids"]]
+            held["source_ids"] |= dict.fromkeys(sources)
             if is_richer(row["content"], held["content"]):
                 held.update(content=row["content"], vector=vector)
         for x in inserts:
-            x["embedding"] = x.pop("vector").astype(np.float32).tolist()
+            x["embedding"], x["source_ids"] = x.pop("vector").astype(np.float32).tolist(), list(x["source_ids"])
         names = [x.split(" ")[0] for x in _OUTCOME.split(", ")]
-        scope = dict(zip(_SCOPE, key, strict=True))
-        rows = [[(x | scope).get(n) for n in names] for x in (*inserts, *matched.values())]
-        return pd.DataFrame(rows, columns=names, dtype=object)
+        scope = dict(zip(_SCOPE, key[1:], strict=True))
+        return pd.DataFrame([[(x | scope).get(n) for n in names] for x in inserts], columns=names, dtype=object)
 
-    return facts.groupBy(*_SCOPE).applyInPandas(step, _OUTCOME)
+    together = waiting.join(groups, "node").groupBy("label", *_SCOPE).applyInPandas(step, _OUTCOME)
+    return _richest(facts.where("match_id IS NOT NULL")).unionByName(alone).unionByName(together)
 
 
 def fact_key(*parts: str) -> bytes:
