@@ -7,6 +7,7 @@ that names none.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_RUNS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -34,12 +36,38 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
-def materialize(frame: DataFrame, name: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application has materialized; results that read it must have been
+    taken before. Runs by itself when the driver's Python ends before its session does."""
+    _delete(spark, f"{scratch_dir(spark)}/palimpsest/{spark.sparkContext.applicationId}")
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None and spark.sparkContext.applicationId in _RUNS:
+        clear_scratch(spark)
+
+
+def materialize(frame: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Writes frame as Parquet to the shared folder and reads it back: cuts the lineage, and the
-    rows outlive any executor."""
-    path = f"{scratch_dir(frame.sparkSession)}/palimpsest/{name}-{uuid.uuid4().hex}"
+    rows outlive any executor. A materialized frame that it takes the place of is deleted."""
+    spark = frame.sparkSession
+    application = spark.sparkContext.applicationId
+    if not _RUNS:
+        atexit.register(_at_exit)
+    _RUNS.add(application)
+    path = f"{scratch_dir(spark)}/palimpsest/{application}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.scratch_path = path
+    if instead_of is not None:
+        _delete(spark, instead_of.scratch_path)
+    return out
 
 
 def parts_for(rows: int, each: int) -> int:
@@ -89,11 +117,11 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
         large = both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        large = materialize(large, "large")
+        large = materialize(large, "large", current)
         low = large.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), "low")
         hung = large.join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         small = hung.where("a > b").unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b"))).distinct()
-        current = materialize(small, "small")
+        current = materialize(small, "small", large)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

@@ -4,19 +4,22 @@ A document's set holds its distinct five-word shingles; equal sets form a class,
 on classes. Each shingle is hashed into a group, and a class is the point of its group counts. Two
 classes share at most the sum over groups of the smaller count, so the R-tree, whose nodes keep the
 largest counts and the smallest size below them, passes over every node whose bound is too small;
-pairs of points that survive are verified on the full sets. A set of n shingles has about n / 4
-groups, as the bound of unrelated sets would otherwise rise with their size; points with twice as
-many groups are folded, by adding neighbours, to be compared with others.
+points that survive are verified on the full sets. A set of n shingles has about n / 4 groups, as
+the bound of unrelated sets would otherwise rise with their size; points with more groups are
+folded, by adding neighbours, to be compared with others.
 
 Which points an R-tree holds: a pair at the threshold shares a shingle among the first
 n - ceil(0.75 n) + 1 of either set under any fixed order of shingles, rare ones first. Classes
 that share such a shingle are led by the smallest of them, and a tree is built over each leader's
 members. So no link is missed, trees stay small, and no tree is needed for unrelated documents.
 
-Large groups of near copies aren't paired off: links to the leader and then to the group's middle
-are verified first, and the tree passes over nodes and pairs that are connected already. What is
-lost thereby are only links inside a component, never a component. Groups over ``BLOCK`` members
-are dealt out in pairs of blocks.
+No pair leaves a task before it is verified. Members of a leader are dealt into tiles of bounded
+size. Points alone say which members of a tile may link with any other; only those fetch their
+sets, and the tile links them: first with the leader, then what the tree finds for members outside
+the largest component, passing over what is connected already. A tile hands on a spanning forest.
+Where a leader has several tiles, its members outside their largest component meet all tiles in a
+second round. Links inside a component that is known already aren't looked for; no component is
+lost. ``jaccard_links`` verifies all pairs instead and returns them.
 """
 
 from __future__ import annotations
@@ -36,12 +39,15 @@ SHARED, SIZES = 7, 3
 #: Groups of a set: a power of two, at least LEAST_GROUPS and at least a fourth of its size.
 LEAST_GROUPS = 64
 LEAF = 16
-BLOCK = 2048
-#: Members of groups that one task joins, about.
-TASK_ROWS = 1000
+#: Members of a tile, about, and shingles in their sets.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Members that one call joins, about, in one tile or several, and shingles in their sets.
+TASK_ROWS, TASK_SHINGLES = 1000, 1 << 20
 #: At most so many frequent shingles are known as such when shingles are put in order.
 FREQUENT = 1 << 17
-_BLOOM_BITS = (1 << 16, 1 << 26)
+#: Shingles in about 2 ** HOT_LEVEL classes or more are dealt to several tasks.
+HOT_LEVEL = 13
+_SALTS = 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -62,9 +68,11 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def class_id(shingles: np.ndarray) -> int:
-    """A signed 64-bit id that equal sets share."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), len(shingles))).view(np.int64))
+def class_hashes(shingles: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two signed 64-bit hashes of a set; ``bits`` of the first are kept."""
+    whole = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return signed(whole & (1 << bits) - 1), signed(whole >> 64)
 
 
 def groups_for(n: int) -> int:
@@ -87,40 +95,47 @@ def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
     return vectors.reshape(*vectors.shape[:-1], groups, -1).sum(axis=-1, dtype=np.int32)
 
 
-def _sets(batch, seen: set[int]):
-    """(doc_id, class, set) of each row; set is None for a class that this task had before."""
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+def _sets(texts, bits: int, twins: frozenset[int], seen: set[tuple[int, int]]):
+    """(class, second hash, size, set) of each text; set is None for a class that this task had
+    before, and for empty sets."""
+    for text in texts.cast(pa.binary()).to_pylist():
         own = shingle_set(text)
-        cls = class_id(own)
+        cls, check = class_hashes(own, bits)
+        if cls in twins:
+            cls = check
         if len(seen) > 1_000_000:
             seen.clear()
-        new = cls not in seen
-        seen.add(cls)
-        yield doc_id, cls, len(own), own if new and len(own) else None
+        new = (cls, check) not in seen
+        seen.add((cls, check))
+        yield cls, check, len(own), own if new and len(own) else None
 
 
 def _record(names: list[str], types: list[pa.DataType], columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-def _survey(batches):
-    """A row for each document, with the count vector where its class is new to the task, and a
-    row for each shingle that several classes of a batch share."""
-    names, types = ["doc_id", "cls", "n", "vec", "token"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-    seen: set[int] = set()
-    for batch in batches:
-        rows, sets = [], []
-        for doc_id, cls, n, own in _sets(batch, seen):
-            rows.append((doc_id, cls, n, None if own is None else count_vector(own).tobytes(), None))
-            if own is not None:
-                sets.append(own)
-        if rows:
-            yield _record(names, types, zip(*rows, strict=True))
-        if sets:
-            tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-            many = counts >= 3
-            k = int(many.sum())
-            yield _record(names, types, ([None] * k, [None] * k, counts[many], [None] * k, tokens[many].view(np.int64)))
+def _survey(bits: int):
+    names, types = ["doc_id", "key", "cls", "check", "n", "vec", "token"], [pa.int64()] * 5 + [pa.binary(), pa.int64()]
+
+    def survey(batches):
+        """A row for each document, with the count vector where its class is new to the task, and
+        a row for each shingle that several classes of a batch share."""
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            rows, sets = [], []
+            for doc_id, key, (cls, check, n, own) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _sets(batch.column(2), bits, frozenset(), seen), strict=True):
+                rows.append((doc_id, key, cls, check, n, None if own is None else count_vector(own).tobytes(), None))
+                if own is not None:
+                    sets.append(own)
+            if rows:
+                yield _record(names, types, zip(*rows, strict=True))
+            if sets:
+                tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
+                many = counts >= 3
+                none = [None] * int(many.sum())
+                yield _record(names, types, (none, none, none, none, counts[many], none, tokens[many].view(np.int64)))
+
+    return survey
 
 
 def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -138,31 +153,44 @@ def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], levels[order]
 
 
-def prefix(shingles: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.75 n) + 1 shingles, in the order of (level, hash)."""
+def prefix(shingles: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(0.75 n) + 1 shingles, in the order of (level, hash), and their levels."""
     n = len(shingles)
+    level = np.zeros(n, dtype=np.int64)
     if len(tokens) and n:
         at = np.minimum(np.searchsorted(tokens, shingles), len(tokens) - 1)
         level = np.where(tokens[at] == shingles, levels[at], 0)
-        shingles = shingles[np.argsort(level, kind="stable")]
-    return shingles[: n - -(-3 * n // 4) + 1]
+        order = np.argsort(level, kind="stable")
+        shingles, level = shingles[order], level[order]
+    cut = n - -(-3 * n // 4) + 1
+    return shingles[:cut], level[:cut]
+
+
+def salt_of(cls: int, level: np.ndarray) -> np.ndarray:
+    """-1, or for shingles of very many classes the part of them that the class is in."""
+    salts = 1 << np.clip(level - HOT_LEVEL + 1, 0, 10)
+    return np.where(level >= HOT_LEVEL, (cls >> 7) % salts, -1)
 
 
 def _leaders(batches):
-    """From (token, cls) sorted by both: (leader, cls), leader being the smallest class that has
-    the token. One row is held back from batch to batch, however long a token's rows are."""
-    token = leader = None
+    """From (token, salt, cls) in that order: (leader, cls, token), leader being the smallest
+    class that has the token, or a part of its classes; only then the token is told. One row is
+    held back from batch to batch, however long a token's rows are."""
+    last = leader = None
     for batch in batches:
-        t, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        t, s, c = (batch.column(i).to_numpy() for i in range(3))
         if not len(t):
             continue
-        starts = np.concatenate(([True], t[1:] != t[:-1]))
+        starts = np.concatenate(([True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])))
         lead = c[np.maximum.accumulate(np.where(starts, np.arange(len(t)), 0))]
-        if token is not None and t[0] == token:
+        if last == (t[0], s[0]):
             lead[: np.argmax(starts[1:]) + 1 if starts[1:].any() else len(t)] = leader
-        token, leader = t[-1], lead[-1]
-        found = np.unique(np.stack((lead, c), axis=1)[lead != c], axis=0)
-        yield _record(["leader", "cls"], [pa.int64(), pa.int64()], (found[:, 0], found[:, 1]))
+        last, leader = (t[-1], s[-1]), lead[-1]
+        hot = s >= 0
+        found = np.unique(np.stack((lead, c), axis=1)[(lead != c) & ~hot], axis=0)
+        parts = np.unique(np.stack((lead, c, t), axis=1)[hot], axis=0)
+        told = pa.array(np.concatenate((np.zeros(len(found), dtype=np.int64), parts[:, 2])), mask=np.arange(len(found) + len(parts)) < len(found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((found[:, i], parts[:, i]))) for i in (0, 1)] + [told], ["leader", "cls", "token"])
 
 
 def may_link(va: np.ndarray, na, vb: np.ndarray, nb) -> np.ndarray:
@@ -170,13 +198,6 @@ def may_link(va: np.ndarray, na, vb: np.ndarray, nb) -> np.ndarray:
     return SHARED * np.minimum(va, vb).sum(axis=-1, dtype=np.int64) >= SIZES * (na + nb)
 
 
-def pair_may_link(va: np.ndarray, na: int, vb: np.ndarray, nb: int) -> bool:
-    if SHARED * min(na, nb) < SIZES * (na + nb):
-        return False
-    groups = min(len(va), len(vb))
-    return bool(may_link(folded(va, groups), na, folded(vb, groups), nb))
-
-
 class CountTree:
     """An R-tree over count vectors, bulk-loaded by sorting and tiling."""
 
@@ -205,179 +226,292 @@ class CountTree:
         return self.order[nodes[ok]]
 
 
-def tree_join(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Pairs of positions with different labels that may link. Sizes of linked sets differ by less
-    than a factor of two, so points meet those with as many groups and those with half as many."""
-    out = []
+class Points:
+    """Trees over points of any numbers of groups. The tree of a number has the points with just
+    so many, and folded ones with more that are small enough to link with one of those."""
+
+    def __init__(self, vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, held: np.ndarray):
+        self.vectors, self.sizes, self.labels = vectors, sizes, labels
+        self.groups = np.array([len(x) for x in vectors], dtype=np.int64)
+        self.trees = []
+        for level in np.unique(self.groups):
+            own = self.groups == level
+            most = sizes[own].max()
+            at = np.flatnonzero(held & (own | ((self.groups > level) & (SHARED * most >= SIZES * (most + sizes)))))
+            if len(at):
+                tree = CountTree(np.stack([folded(vectors[i], level) for i in at]), sizes[at], labels[at])
+                self.trees.append((level, at, own[at], most, tree))
+
+    def near(self, i: int) -> np.ndarray:
+        """Positions of held points with another label that may link with point i."""
+        out, size = [np.zeros(0, dtype=np.int64)], self.sizes[i]
+        for level, at, own, most, tree in self.trees:
+            if level <= self.groups[i] and (most >= size or SHARED * most >= SIZES * (most + size)):
+                found = tree.search(folded(self.vectors[i], level), size, self.labels[i])
+                out.append(at[found if level == self.groups[i] else found[own[found]]])
+        return np.concatenate(out)
+
+
+def star(vectors: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Which points may link with the first one, which is among them."""
+    out = np.zeros(len(vectors), dtype=bool)
     groups = np.array([len(x) for x in vectors])
-    for level in np.unique(groups):
-        at = np.flatnonzero(groups == level)
-        tree = CountTree(np.stack([vectors[i] for i in at]).astype(np.int32), sizes[at], labels[at])
-        for i in at:
-            found = at[tree.search(vectors[i], sizes[i], labels[i])]
-            out.extend((i, j) for j in found[found > i])
-        for i in np.flatnonzero(groups > level):
-            if SHARED * sizes[at].max() >= SIZES * (sizes[at].max() + sizes[i]):
-                found = at[tree.search(folded(vectors[i], level), sizes[i], labels[i])]
-                out.extend((i, j) for j in found)
-    return np.array(out, dtype=np.int64).reshape(-1, 2)
-
-
-def middle_pairs(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Pairs of the point nearest to the mean with those of other labels that may link with it."""
-    flat = np.stack([folded(x, LEAST_GROUPS) for x in vectors])
-    middle = int(np.abs(flat - flat.mean(axis=0)).sum(axis=1).argmin())
-    near = np.flatnonzero(may_link(flat, sizes, flat[middle], sizes[middle]) & (labels != labels[middle]))
-    found = [i for i in near if pair_may_link(vectors[i], sizes[i], vectors[middle], sizes[middle])]
-    return np.array([(middle, i) for i in found], dtype=np.int64).reshape(-1, 2)
-
-
-def _joined(groups: DataFrame, info: DataFrame, labels: DataFrame | None, find, pairs_of_blocks: bool) -> DataFrame:
-    """Pairs (a, b), a < b, that ``find`` gives within each group (leader, cls) that still has
-    several components; groups over BLOCK members go block by block, or by pairs of blocks."""
-    rows = groups.join(labels.withColumnRenamed("node", "cls"), "cls", "left") if labels is not None else groups.withColumn("component", F.lit(None).cast("long"))
-    rows = rows.select("leader", "cls", F.coalesce("component", "cls").alias("label"))
-    several = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("leader", "m")
-    rows = rows.join(several, "leader")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    if pairs_of_blocks:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.withColumn("tile", F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    for g in np.unique(groups):
+        at, level = np.flatnonzero(groups == g), min(g, groups[0])
+        out[at] = may_link(folded(np.stack([vectors[i] for i in at]), level), sizes[at], folded(vectors[0], level), sizes[0])
+    return out
+
+
+def wanted(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, asks: np.ndarray) -> np.ndarray:
+    """Which points of a tile may link with any other of another label. ``asks``: those that meet
+    the others; where all do, the first one is the leader."""
+    if asks.all():
+        mark = star(vectors, sizes)
+        mark[0] = mark[1:].any()
+        rest, held = np.flatnonzero(~mark), np.ones(len(vectors), dtype=bool)
+        rest = rest[rest > 0]
     else:
-        rows = rows.withColumn("tile", F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
-    rows = materialize(rows.select("leader", "tile", "cls", "label"), "members")
-    tasks = parts_for(rows.count(), TASK_ROWS)
-    rows = rows.join(info.select("cls", "n", "vec"), "cls").withColumn("task", F.pmod(F.xxhash64("leader", "tile"), F.lit(tasks)))
-    rows = rows.select("task", "leader", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "cls", "label", "n", "vec")
+        mark, rest, held = np.zeros(len(vectors), dtype=bool), np.flatnonzero(asks), ~asks
+    if len(rest):
+        points = Points(vectors, sizes, labels, held)
+        for i in rest:
+            found = points.near(i)
+            mark[found] = True
+            mark[i] |= len(found) > 0
+    return mark
+
+
+class Sets:
+    """Shingle sets of a tile, with shingles numbered within it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
+        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.parts = np.split(ids, self.ends[:-1])
+        self.marks = np.zeros(len(names), dtype=bool)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that link with set i."""
+        if not len(others):
+            return others
+        self.marks[self.parts[i]] = True
+        hits = self.marks[np.concatenate([self.parts[j] for j in others])]
+        self.marks[self.parts[i]] = False
+        both = np.add.reduceat(hits, np.concatenate(([0], np.cumsum(self.sizes[others])[:-1])), dtype=np.int64)
+        return others[SHARED * both >= SIZES * (self.sizes[i] + self.sizes[others])]
+
+
+def link_tile(vectors: list[np.ndarray], sets: list[np.ndarray], labels: np.ndarray, asks: np.ndarray, every: bool) -> list[tuple[int, int]]:
+    """Links of a tile as pairs of positions: all of them, or a forest that joins what they join.
+    Sets with a common label are taken to be connected."""
+    held = np.ones(len(sets), dtype=bool) if asks.all() else ~asks
+    known, sizes, labels = Sets(sets), np.array([len(x) for x in sets]), labels.copy()
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, found: np.ndarray) -> None:
+        if every:
+            out.extend((i, j) for j in found)
+            return
+        found = found[labels[found] != labels[i]]
+        olds, first = np.unique(labels[found], return_index=True)
+        out.extend((i, j) for j in found[first])
+        labels[np.isin(labels, olds)] = labels[i]
+
+    if asks.all() and not every:
+        join(0, known.linked(0, np.arange(1, len(sets))))
+    if every or len(np.unique(labels)) > 1:
+        points = Points(vectors, sizes, labels.copy(), held)
+        names, counts = np.unique(labels, return_counts=True)
+        rest = asks if every or not asks.all() else labels != names[np.argmax(counts)]
+        for i in np.flatnonzero(rest):
+            near = points.near(i)
+            near = near[near > i] if every and asks.all() else near[every | (labels[near] != labels[i])]
+            join(i, known.linked(i, near))
+    return out
+
+
+def _dealt(rows: DataFrame, labels: DataFrame | None, every: bool) -> DataFrame:
+    """(leader, i, j, cls, label, asks, n, vec): rows (leader, cls, n, vec) in tiles. Without
+    labels, tile i of a leader has the leader and a part of its members, all of which ask. With
+    them, those outside the leader's largest component ask, by parts j, in each tile i; leaders
+    with one component or one tile are left out. ``every``: all ask in each tile."""
+    hot = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    parts = lambda m, n: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
+    hot = materialize(hot.select("leader", parts("m", "shingles").alias("parts")).where("parts > 1"), "hot")
+    salt = F.pmod(F.xxhash64("cls"), F.lit(_SALTS)).cast("int")
+    salted = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    part = lambda name, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(name)).cast("int")
+    each = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+    own = F.array(part("parts", 1))
+    if labels is None:
+        out = rows.withColumn("salt", salt).join(salted(hot), ["leader", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        out = out.withColumn("i", F.explode(F.when(F.col("leader") == F.col("cls"), each("parts")).otherwise(own)))
+        return out.select("leader", "i", F.lit(0).alias("j"), "cls", F.col("cls").alias("label"), F.lit(True).alias("asks"), "n", "vec")
+    out = rows.withColumn("salt", salt).join(salted(hot), ["leader", "salt"])
+    named = out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.lit(None).cast("long") if every else F.coalesce("component", "cls"))
+    named = materialize(named.select("leader", "parts", "cls", F.coalesce("label", "cls").alias("label"), "n", "vec"), "named")
+    sums = named.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    sums = sums.groupBy("leader").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all"), F.max("m").alias("most"), F.sum("shingles").alias("shingles"), F.max_by("shingles", F.struct("m", "label")).alias("inside"))
+    sums = sums.where("k > 1").select("leader", "largest", F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil((F.col("shingles") - F.col("inside")) / BLOCK_SHINGLES)).cast("int").alias("turns"))
+    out = named.withColumn("salt", salt).join(salted(materialize(sums, "largest")), ["leader", "salt"])
+    if every:
+        out = out.withColumn("turns", F.col("parts"))
+    held = out.withColumn("i", part("parts", 1)).withColumn("j", F.explode(each("turns"))).withColumn("asks", F.lit(False))
+    asking = out if every else out.where("label <> largest")
+    asking = asking.withColumn("j", part("turns", 1 if every else 2)).withColumn("i", F.explode(each("parts"))).withColumn("asks", F.lit(True))
+    both = held.unionByName(asking).select("leader", "i", F.col("j").alias("j"), "cls", "label", "asks", "n", "vec")
+    return both.where("i < j") if every else both
+
+
+def _by_tile(rows: DataFrame, sized: DataFrame, columns: list[str], each, schema: str) -> DataFrame:
+    """Calls ``each`` with the rows of some tiles at a time: (pdf, positions of each tile's rows).
+    ``sized`` has about as many rows, and is counted."""
+    size = sized.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    tasks = max(parts_for(size["rows"], TASK_ROWS), parts_for(size["n"], TASK_SHINGLES))
+    dealt = rows.select(F.pmod(F.xxhash64("leader", "i", "j"), F.lit(tasks)).alias("task"), *columns)
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["leader", "i", "j", "cls"], ignore_index=True)
-        vectors, sizes = [np.frombuffer(x, dtype=np.uint8) for x in pdf["vec"]], pdf["n"].to_numpy()
-        cls, labels = pdf["cls"].to_numpy(), pdf["label"].to_numpy()
-        out = [np.zeros((0, 2), dtype=np.int64)]
-        for at in pdf.groupby(["leader", "i", "j"], sort=False).indices.values():
-            found = find([vectors[i] for i in at], sizes[at], labels[at])
-            out.append(cls[at[found]].reshape(-1, 2))
-        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pdf = pdf.assign(_lead=pdf["leader"] != pdf["cls"]).sort_values(["leader", "i", "j", "asks", "_lead", "cls"], ignore_index=True)
+        return each(pdf, pdf.groupby(["leader", "i", "j"], sort=False).indices.values())
 
-    return rows.groupBy("task").applyInPandas(within, "a long, b long").distinct()
+    return dealt.groupBy("task").applyInPandas(within, schema)
 
 
-def _star_pairs(groups: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs of leader and member that may link."""
-    left = info.select(F.col("cls").alias("leader"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    rows = groups.where("leader <> cls").join(left, "leader").join(info.select("cls", "n", "vec"), "cls").select("leader", "cls", "na", "n", "va", "vec")
+_TILE = ["leader", "i", "j", "asks", "cls", "label", "n", "vec"]
 
-    def bounded(batches):
-        for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            if len(a):
-                vectors = zip(batch.column(4), batch.column(5), strict=True)
-                ok = np.array([pair_may_link(np.frombuffer(x.as_py(), dtype=np.uint8), m, np.frombuffer(y.as_py(), dtype=np.uint8), n) for (x, y), m, n in zip(vectors, na, nb, strict=True)])
-                yield _record(["a", "b"], [pa.int64(), pa.int64()], (np.minimum(a, b)[ok], np.maximum(a, b)[ok]))
-
-    return rows.mapInArrow(bounded, "a long, b long")
-
-
-def _bloom(classes: DataFrame) -> np.ndarray:
-    """A bit field of bounded size in which every class sets two bits."""
-    bits = _BLOOM_BITS[0]
-    while bits < _BLOOM_BITS[1] and bits < 16 * classes.count():
-        bits *= 16
-    bits = min(bits, _BLOOM_BITS[1])
-    low, high = F.col("cls").bitwiseAND(bits - 1), F.shiftrightunsigned("cls", 32).bitwiseAND(bits - 1)
-    marks = classes.select(F.explode(F.array(low, high)).alias("bit"))
-    words = marks.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(31).cast("int"))).alias("mask")).toPandas()
-    out = np.zeros(bits // 32, dtype=np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
-    return out
 
+def _vectors(pdf: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint8) for x in pdf["vec"]]
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold. Only sets that a pair asks for, and the
-    few that its bit field can't tell from them, leave the scan."""
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    field = _bloom(classes)
-    last = len(field) * 32 - 1
 
-    def asked(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            rows = []
-            for _, cls, _, own in _sets(batch, seen):
-                low, high = cls & last, (cls & 0xFFFFFFFFFFFFFFFF) >> 32 & last
-                if own is not None and field[low >> 5] >> (low & 31) & 1 and field[high >> 5] >> (high & 31) & 1:
-                    rows.append((cls, own.tobytes()))
-            if rows:
-                yield _record(["cls", "set"], [pa.int64(), pa.binary()], zip(*rows, strict=True))
+def _marked(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """The rows whose points may link with another one of their tile."""
 
-    sets = docs.mapInArrow(asked, "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
+    def mark(pdf: pd.DataFrame, tiles) -> pd.DataFrame:
+        vectors, keep = _vectors(pdf), np.zeros(len(pdf), dtype=bool)
+        sizes, labels, asks = pdf["n"].to_numpy(), pdf["label"].to_numpy(), pdf["asks"].to_numpy()
+        for at in tiles:
+            if len(at) > 1:
+                keep[at] = wanted([vectors[i] for i in at], sizes[at], labels[at], asks[at])
+        return pdf.loc[keep, _TILE]
 
-    def compared(batches):
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                if SHARED * int((x[at] == y).sum()) >= SIZES * (len(x) + len(y)):
-                    keep.append((a, b))
-            if keep:
-                yield _record(["a", "b"], [pa.int64(), pa.int64()], zip(*keep, strict=True))
+    return _by_tile(rows, sized, _TILE, mark, "leader long, i int, j int, asks boolean, cls long, label long, n long, vec binary")
 
-    return both.mapInArrow(compared, "a long, b long")
 
+def _links(rows: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """Links (a, b) of the tiles' members, verified on their sets."""
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+    def link(pdf: pd.DataFrame, tiles) -> pd.DataFrame:
+        vectors, sets, out = _vectors(pdf), [np.frombuffer(x, dtype=np.uint64) for x in pdf["set"]], [np.zeros((0, 2), dtype=np.int64)]
+        cls, labels, asks = pdf["cls"].to_numpy(), pdf["label"].to_numpy(), pdf["asks"].to_numpy()
+        for at in tiles:
+            found = link_tile([vectors[i] for i in at], [sets[i] for i in at], labels[at], asks[at], every)
+            out.append(cls[at[np.array(found, dtype=np.int64).reshape(-1, 2)]])
+        pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return _by_tile(rows.join(sets, "cls"), rows, [*_TILE, "set"], link, "a long, b long")
+
+
+class _Join:
+    """The steps over one table (doc_id, text) of documents."""
+
+    def __init__(self, docs: DataFrame, bits: int):
+        self.bits = bits
+        self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+        survey = materialize(self.rows.mapInArrow(_survey(bits), "doc_id long, key long, cls long, check long, n long, vec binary, token long"), "survey")
+        owned = survey.where("token IS NULL").drop("token")
+        info = owned.where("n > 0").groupBy("cls", "check").agg(F.max("n").alias("n"), F.max("vec").alias("vec"), F.min("doc_id").alias("least"), F.min("key").alias("key"))
+        info = materialize(info, "classes")
+        # different sets with one first hash: the second one names them; none are to be expected below some 10^9 classes
+        self.twins = frozenset(r["cls"] for r in info.groupBy("cls").count().where("count > 1").select("cls").collect())
+        name = F.when(F.col("cls").isin(list(self.twins)), F.col("check")).otherwise(F.col("cls")) if self.twins else F.col("cls")
+        self.owned, self.info = owned.withColumn("cls", name), info.withColumn("cls", name)
+        self.counts = survey.where("token IS NOT NULL").select("token", "n")
+
+    def groups(self) -> DataFrame:
+        """(leader, cls, n, vec): the members of each leader, itself among them."""
+        tokens, levels = _frequent(self.counts)
+        bits, twins = self.bits, self.twins
+
+        def prefixes(batches):
+            seen: set[tuple[int, int]] = set()
+            for batch in batches:
+                parts = []
+                for cls, _, _, own in _sets(batch.column(0), bits, twins, seen):
+                    if own is not None:
+                        first, level = prefix(own, tokens, levels)
+                        parts.append((first.view(np.int64), salt_of(cls, level), np.full(len(first), cls, dtype=np.int64)))
+                if parts:
+                    yield _record(["token", "salt", "cls"], [pa.int64()] * 3, [np.concatenate(x) for x in zip(*parts, strict=True)])
+
+        routed = self.rows.select("text").mapInArrow(prefixes, "token long, salt long, cls long").repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
+        found = materialize(routed.mapInArrow(_leaders, "leader long, cls long, token long"), "leaders")
+        parts = found.where("token IS NOT NULL")
+        tops = F.broadcast(parts.groupBy("token").agg(F.min("leader").alias("top")))  # of at most FREQUENT shingles
+        parts = parts.join(tops, "token").select(F.col("top").alias("leader"), "cls")
+        members = found.where("token IS NULL").select("leader", "cls").unionByName(parts).where("leader <> cls").distinct()
+        groups = members.unionByName(members.select("leader", F.col("leader").alias("cls")).distinct())
+        return materialize(groups.join(self.info.select("cls", "n", "vec"), "cls").select("leader", "cls", "n", "vec"), "groups")
+
+    def sets_of(self, rows: DataFrame) -> DataFrame:
+        """(cls, set) of the classes of rows: only texts that stand for them are read."""
+        keys = materialize(rows.select("cls").distinct().join(self.info.select("cls", "key"), "cls").select("key").distinct(), "keys")
+        bits, twins = self.bits, self.twins
+
+        def listed(batches):
+            seen: set[tuple[int, int]] = set()
+            for batch in batches:
+                out = [(cls, own.tobytes()) for cls, _, _, own in _sets(batch.column(0), bits, twins, seen) if own is not None]
+                if out:
+                    yield _record(["cls", "set"], [pa.int64(), pa.binary()], zip(*out, strict=True))
+
+        texts = self.rows.join(keys, "key", "left_semi").select("text")
+        return texts.mapInArrow(listed, "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
+
+    def round(self, groups: DataFrame, labels: DataFrame | None, every: bool) -> DataFrame:
+        """Links (a, b) that the tiles find."""
+        dealt = _dealt(groups, labels, every)
+        marked = materialize(_marked(dealt, groups if labels is None else dealt), "marked")
+        return materialize(_links(marked, self.sets_of(marked), every).distinct(), "links")
+
+
+def jaccard_components(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
     component_id is the smallest doc_id reachable by links, itself included. A null or empty text
     has no shingles and is linked with nothing. Repeated rows have equal sets and so link; a null
-    doc_id takes its component's smallest doc_id, or null. An empty table gives an empty result."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    survey = materialize(rows.mapInArrow(_survey, "doc_id long, cls long, n long, vec binary, token long"), "survey")
-    owned = survey.where("token IS NULL").select("doc_id", "cls", "n", "vec")
-    info = materialize(owned.where("n > 0").groupBy("cls").agg(F.max("n").alias("n"), F.max("vec").alias("vec"), F.min("doc_id").alias("least")), "classes")
-    tokens, levels = _frequent(survey.where("token IS NOT NULL").select("token", "n"))
-
-    def prefixes(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            parts, classes = [], []
-            for _, cls, _, own in _sets(batch, seen):
-                if own is not None:
-                    parts.append(prefix(own, tokens, levels).view(np.int64))
-                    classes.append(np.full(len(parts[-1]), cls, dtype=np.int64))
-            if parts:
-                yield _record(["token", "cls"], [pa.int64(), pa.int64()], (np.concatenate(parts), np.concatenate(classes)))
-
-    routed = rows.mapInArrow(prefixes, "token long, cls long").repartition("token").sortWithinPartitions("token", "cls")
-    members = materialize(routed.mapInArrow(_leaders, "leader long, cls long").distinct(), "leaders")
-    groups = members.unionByName(members.select("leader", F.col("leader").alias("cls")).distinct())
-
-    links = tried = labels = None
-    for find, blocks in ((None, False), (middle_pairs, False), (tree_join, True)):
-        pairs = _star_pairs(groups, info) if find is None else _joined(groups, info, labels, find, blocks)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        found = materialize(_verified(pairs, rows), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = materialize(components(links), "labels")
-
-    if labels is None:
-        labels = info.select(F.col("cls").alias("node"), F.col("cls").alias("component")).where("false")
+    doc_id takes its component's smallest doc_id, or null. An empty table gives an empty result.
+    ``bits``: of a class's first hash; sets that share it are told apart by a second one."""
+    join = _Join(docs, bits)
+    groups = join.groups()
+    links = join.round(groups, None, False)
+    labels = materialize(components(links), "labels")
+    more = join.round(groups, labels, False)
+    if not more.isEmpty():
+        labels = materialize(components(links.unionByName(more)), "labels", labels)
+    info = join.info.select("cls", "least")
     named = info.join(labels, info["cls"] == labels["node"], "left").select("cls", F.coalesce("component", "cls").alias("component"), "least")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = materialize(named.join(least, "component").select("cls", "component_id"), "components")
-    out = owned.drop("vec").join(of_class.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left")
+    owned = join.owned.select("doc_id", "cls", "n")
+    out = owned.join(of_class.withColumnRenamed("cls", "_cls"), F.col("cls") == F.col("_cls"), "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The join itself: all links (a, b), a < b, between different sets, and (doc_id, cls) of every
+    row of docs, cls being null where a text has no words. Rows with a common cls have equal sets."""
+    join = _Join(docs, bits)
+    groups = join.groups()
+    links = join.round(groups, None, True)
+    none = links.select(F.col("a").alias("node"), F.col("b").alias("component")).where("false")
+    links = links.unionByName(join.round(groups, none, True)).distinct()
+    return links, join.owned.select("doc_id", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_components() over all documents."""
     return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
