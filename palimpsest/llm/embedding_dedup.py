@@ -7,9 +7,11 @@ to reach the target recall. That number is found by trial: sampled vectors are t
 the threshold's angle in random directions, and the visits needed to meet the turned vectors' cells
 are counted. Vectors that meet in a cell are verified in double precision.
 
-Equal vectors form a class and are compared once. Cells with many vectors are dealt out in blocks,
-and a block hands on counts and a spanning forest of its links, not the links. The codebooks are
-fitted on at most ``SAMPLE`` vectors; every vector is indexed and asks.
+Equal vectors form a class and are compared once; vectors of each length have an index of their
+own. The cells of one first code word, or of a part of the second ones beside it, are a group, so
+that a vector is sent to a group once however many of its cells it visits. Groups with many vectors
+are dealt out in blocks, and a block hands on counts and a spanning forest of its links, not the
+links. The codebooks are fitted on at most ``SAMPLE`` vectors; every vector is indexed and asks.
 """
 
 from __future__ import annotations
@@ -17,98 +19,145 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from palimpsest.llm.common import components, materialize, table
 
 THRESHOLD = 0.95
 TARGET_RECALL = 0.995
-SAMPLE = 8_192
+#: Vectors of a length that codebooks are fitted on: LEAST_SAMPLE, with many code words more, SAMPLE at most.
+LEAST_SAMPLE, SAMPLE, TRIALS = 8_192, 32_768, 1_024
 #: Vectors to a cell, about, as long as a half has at most MOST_WORDS code words.
-PER_CELL, MOST_WORDS = 96, 256
-BLOCK = 1_024
+PER_CELL, MOST_WORDS = 96, 8_192
+BLOCK = 2_048
+#: Numbers that one step of an index computes at once, about.
+_AT_ONCE = 1 << 21
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; they are first scaled by powers of two, so that no square overflows."""
     rows = rows.astype(np.float64)
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _from_bytes(column, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(x) for x in column), dtype="<f4").reshape(-1, dims)
+def _rows(column, dtype: str) -> np.ndarray:
+    """Vectors of one length from their bytes."""
+    parts = [bytes(x) for x in column]
+    return np.frombuffer(b"".join(parts), dtype=dtype).reshape(len(parts), -1)
 
 
-def classes_of(vectors: DataFrame) -> DataFrame:
-    """(vec_id, cls, vec): cls is null for vectors that can't link: null, empty, zero, or with a
-    null or non-finite component."""
+def packed(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, vec) and the type of the numbers: vec has a vector's bytes, and is null for vectors
+    that can't link: null, empty, zero, or with a null or non-finite component."""
+    double = vectors.schema["embedding"].dataType == ArrayType(DoubleType(), vectors.schema["embedding"].dataType.containsNull)
+    dtype, kind = ("<f8", "double") if double else ("<f4", "float")
 
-    def hashed(batches):
+    def listed(batches):
         for batch in batches:
-            cls, vec = [], []
+            vec = []
             for x in batch.column(1).to_pylist():
-                row = np.array([np.nan if y is None else y for y in x or []], dtype="<f4")
-                if len(row) and np.isfinite(row).all() and (row != 0).any():
-                    cls.append(int(np.uint64(xxhash.xxh3_64_intdigest(row.tobytes())).view(np.int64)))
-                    vec.append(row.tobytes())
-                else:
-                    cls.append(None)
-                    vec.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(vec, pa.binary())], ["vec_id", "cls", "vec"])
+                row = np.array([np.nan if y is None else y for y in x or []], dtype=dtype)
+                vec.append(row.tobytes() if len(row) and np.isfinite(row).all() and (row != 0).any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vec, pa.binary())], ["vec_id", "vec"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return rows.mapInArrow(hashed, "vec_id long, cls long, vec binary")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+    return rows.mapInArrow(listed, "vec_id long, vec binary"), dtype
+
+
+def squared(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return (rows**2).sum(axis=1)[:, None] - 2 * rows @ centers.T + (centers**2).sum(axis=1)
+
+
+def _chunks(rows: np.ndarray, width: int):
+    step = max(1, _AT_ONCE // max(1, width))
+    return (rows[i : i + step] for i in range(0, len(rows), step))
 
 
 def codebook(rows: np.ndarray, words: int, rounds: int = 12) -> np.ndarray:
     """Code words by k-means from evenly spread starting rows."""
     centers = rows[np.linspace(0, len(rows) - 1, words).astype(int)].copy()
     for _ in range(rounds):
-        own = squared(rows, centers).argmin(axis=1)
+        own = np.concatenate([squared(x, centers).argmin(axis=1) for x in _chunks(rows, words)])
         sums, counts = np.zeros_like(centers), np.bincount(own, minlength=words)
         np.add.at(sums, own, rows)
         centers[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
     return centers
 
 
-def squared(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    return (rows**2).sum(axis=1)[:, None] - 2 * rows @ centers.T + (centers**2).sum(axis=1)
-
-
 class MultiIndex:
-    """Codebooks of the two halves and the number of cells to visit."""
+    """Codebooks of the two halves, the number of cells to visit, and the groups of cells."""
 
-    def __init__(self, sample: np.ndarray, words: int, threshold: float, recall: float):
+    def __init__(self, sample: np.ndarray, words: int, threshold: float, recall: float, many: int):
         self.cut, self.words = sample.shape[1] // 2, max(1, min(words, len(sample)))
         self.books = (codebook(sample[:, : self.cut], self.words), codebook(sample[:, self.cut :], self.words))
-        self.visits = self._calibrated(sample[:1024], threshold, recall)
+        self.visits = self._calibrated(sample[:TRIALS], threshold, recall)
+        # pairs of ranks in the two halves whose product is at most v hold the first v cells
+        pairs = [(a, b) for a in range(min(self.words, self.visits)) for b in range(min(self.words, self.visits // (a + 1)))]
+        self.ranks = np.array(pairs, dtype=np.int64).T
+        # second code words of a group, so that it has about BLOCK vectors
+        self.wide = max(1, min(self.words, round(self.words * self.words * BLOCK / max(1, many))))
 
     def distances(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(rows[:, : self.cut], self.books[0]), squared(rows[:, self.cut :], self.books[1])
 
-    def traverse(self, rows: np.ndarray, visits: int) -> np.ndarray:
-        """The first cells in multi-sequence order; the first is the row's own. The first v cells
-        lie among pairs of code words whose ranks in the two halves have a product of at most v."""
+    def traverse(self, rows: np.ndarray) -> np.ndarray:
+        """The first cells in multi-sequence order; the first is the row's own."""
+        return np.concatenate([np.zeros((0, self.visits), dtype=np.int64), *[self._traverse(x) for x in _chunks(rows, max(self.words, self.ranks.shape[1]))]])
+
+    def _traverse(self, rows: np.ndarray) -> np.ndarray:
         first, second = self.distances(rows)
         i, j = np.argsort(first, axis=1, kind="stable"), np.argsort(second, axis=1, kind="stable")
-        a, b = np.meshgrid(np.arange(self.words), np.arange(self.words), indexing="ij")
-        near = (a + 1) * (b + 1) <= visits
-        a, b = a[near], b[near]
-        left, right = i[:, a], j[:, b]
+        left, right = i[:, self.ranks[0]], j[:, self.ranks[1]]
         sums = np.take_along_axis(first, left, axis=1) + np.take_along_axis(second, right, axis=1)
-        order = np.argsort(sums, axis=1, kind="stable")[:, :visits]
-        return np.take_along_axis(left * self.words + right, order, axis=1).astype("<i4")
+        order = np.argsort(sums, axis=1, kind="stable")[:, : self.visits]
+        return np.take_along_axis(left * self.words + right, order, axis=1)
+
+    def group(self, cells: np.ndarray) -> np.ndarray:
+        return (cells // self.words) * self.words + cells % self.words // self.wide
 
     def _calibrated(self, rows: np.ndarray, threshold: float, recall: float) -> int:
+        """Visits by which a vector or its turned one meets the other's cell."""
         turn = np.random.default_rng(0).standard_normal(rows.shape)
         turn -= (turn * rows).sum(axis=1, keepdims=True) * rows
         norm = np.linalg.norm(turn, axis=1, keepdims=True)
         turned = threshold * rows + np.sqrt(1 - threshold**2) * turn / np.where(norm > 0, norm, 1)
-        cells = self.words**2
-        ways = [self.traverse(rows, cells), self.traverse(turned, cells)]
-        ranks = [np.argmax(way == other[:, :1], axis=1) for way, other in (ways, ways[::-1])]
-        return int(np.quantile(np.minimum(*ranks), recall, method="higher")) + 1
+        ends = [[x.argmin(axis=1) for x in self.distances(y)] for y in (turned, rows)]
+        ranks = np.minimum(*[self._places(x, *end) for x, end in zip((rows, turned), ends, strict=True)])
+        return max(1, int(np.quantile(ranks, recall, method="higher")))
+
+    def _places(self, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each row how many cells are no further than the cell (a, b)."""
+        out = np.zeros(len(rows), dtype=np.int64)
+        for k, (first, second) in enumerate(zip(*self.distances(rows), strict=True)):
+            reach = first[a[k]] + second[b[k]] - first
+            out[k] = np.searchsorted(np.sort(second), reach + 1e-12, side="right").sum()
+        return out
+
+
+class Flat:
+    """The index of few vectors: one cell."""
+
+    def traverse(self, rows: np.ndarray) -> np.ndarray:
+        return np.zeros((len(rows), 1), dtype=np.int64)
+
+    def group(self, cells: np.ndarray) -> np.ndarray:
+        return cells
+
+
+def build_indexes(classes: DataFrame, dtype: str, threshold: float, recall: float) -> dict[int, MultiIndex]:
+    """An index for each length (in bytes) with enough vectors for several cells."""
+    sizes = classes.groupBy(F.octet_length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 3 * PER_CELL)
+    out = {}
+    for row in sizes.orderBy("bytes").collect():
+        words = int(max(1, min(MOST_WORDS, round((row["n"] / PER_CELL) ** 0.5))))
+        most = max(LEAST_SAMPLE, min(SAMPLE, 4 * words))
+        sample = classes.where(F.octet_length("vec") == row["bytes"]).orderBy(F.xxhash64("vec"), "vec").limit(most).select("vec").toPandas()
+        if row["bytes"] >= 2 * np.dtype(dtype).itemsize:
+            out[row["bytes"]] = MultiIndex(unit(_rows(sample["vec"], dtype)), words, threshold, recall, row["n"])
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,16 +176,38 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _verify(dims: int, threshold: float):
+def _met(rows: np.ndarray, home: np.ndarray, x: np.ndarray, q: np.ndarray, cells: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (asking row of q, held row of x) that reach the threshold, cell by cell. cells: those
+    that each row of q visits."""
+    counts = [len(c) for c in cells]
+    asking, visited = np.repeat(q, counts), np.concatenate([np.zeros(0, dtype=np.int64), *cells])
+    order, held = np.argsort(visited, kind="stable"), x[np.argsort(home[x], kind="stable")]
+    asking, visited = asking[order], visited[order]
+    left, right = [], []
+    for cell in np.intersect1d(visited, home[held]):
+        i = asking[np.searchsorted(visited, cell) : np.searchsorted(visited, cell, side="right")]
+        j = held[np.searchsorted(home[held], cell) : np.searchsorted(home[held], cell, side="right")]
+        for part in _chunks(i, len(j)):
+            at = np.argwhere(rows[part] @ rows[j].T >= threshold)
+            left.append(part[at[:, 0]])
+            right.append(j[at[:, 1]])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _verify(dtype: str, threshold: float):
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
-        rows, cls, mult = unit(_from_bytes(pdf["vec"], dims)), pdf["cls"].to_numpy(), pdf["mult"].to_numpy()
-        home, path = pdf["home"].to_numpy(), np.stack([np.frombuffer(bytes(x), dtype="<i4") for x in pdf["path"]])
-        q, x = np.flatnonzero(asks), np.flatnonzero(~asks)
-        at = np.argwhere(rows[q] @ rows[x].T >= threshold)
-        q, x = q[at[:, 0]], x[at[:, 1]]
+        rows, cls, mult, home = unit(_rows(pdf["vec"], dtype)), pdf["cls"].to_numpy(), pdf["mult"].to_numpy(), pdf["home"].to_numpy()
+        held, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if not len(held) or not len(asking):
+            return pd.DataFrame({"cls": [], "links": [], "root": []}, dtype=np.int64)
+        # an asking row has the cells of this group that it visits, a held row all that it visits
+        q, x = _met(rows, home, held, asking, [pdf["cells"].iloc[i] for i in asking], threshold)
+        path, place = np.stack([pdf["cells"].iloc[i] for i in held]), np.zeros(len(rows), dtype=np.int64)
+        place[held] = np.arange(len(held))
         # a pair that meets in both cells counts where the smaller class asks
-        twice = (path[x] == home[q][:, None]).any(axis=1)
+        twice = np.concatenate([np.zeros(0, dtype=bool), *[(path[place[x[p]]] == home[q[p]][:, None]).any(axis=1) for p in _chunks(np.arange(len(q)), path.shape[1])]])
         keep = (cls[q] != cls[x]) & (~twice | (cls[q] < cls[x]))
         q, x = q[keep], x[keep]
         nodes, roots = forest(cls[q], cls[x])
@@ -151,54 +222,61 @@ def _verify(dims: int, threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding).
 
-    Vectors that are null, empty, zero or not finite link with nothing, and so do vectors of
-    another length than the most frequent one. Repeated rows are vectors of their own that link
-    with each other. Labels and other columns aren't read. An empty table gives an empty result."""
+    Vectors that are null, empty, zero or not finite link with nothing, and vectors of different
+    lengths don't link. Repeated rows are vectors of their own that link with each other; a null
+    vec_id takes the smallest vec_id of its component, or null. Labels and other columns aren't
+    read. An embedding column of doubles is compared as such. An empty table gives an empty result."""
     spark = vectors.sparkSession
-    rows = materialize(classes_of(vectors), "vectors")
-    valid = rows.where("cls IS NOT NULL")
-    length = valid.groupBy(F.octet_length("vec").alias("bytes")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "bytes").first()
-    dims = length["bytes"] // 4 if length else 1
-    valid = valid.where(F.octet_length("vec") == 4 * dims)
-    classes = materialize(valid.groupBy("cls").agg(F.max("vec").alias("vec"), F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least")), "classes")
-    many = classes.count()
-    labels = classes.select(F.col("cls").alias("node"), F.col("cls").alias("component")).where("false")
-    links = classes.select("cls", F.lit(0).cast("long").alias("links")).where("false")
-    if many > 1:
-        sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("vec").toPandas()
-        words = int(max(1, min(MOST_WORDS, round((many / PER_CELL) ** 0.5))))
-        index = MultiIndex(unit(_from_bytes(sample["vec"], dims)), words, threshold, recall)
-        sent = spark.sparkContext.broadcast(index)
-
-        def paths(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    way = sent.value.traverse(unit(_from_bytes(batch.column(1).to_pylist(), dims)), sent.value.visits)
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(way[:, 0].astype(np.int32)), pa.array([x.tobytes() for x in way], pa.binary()), pa.array(way.tolist(), pa.list_(pa.int32()))], ["cls", "vec", "mult", "home", "path", "cells"])
-
-        placed = materialize(classes.select("cls", "vec", "mult").mapInArrow(paths, "cls long, vec binary, mult long, home int, path binary, cells array<int>"), "placed")
-        held = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-        asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("turns"))
-        cells = materialize(held.join(asked, "cell"), "cells")
-        columns = ["cell", "part", "turn", "asks", "cls", "vec", "mult", "home", "path"]
-        block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        index_rows = placed.withColumn("cell", F.col("home")).join(cells, "cell").withColumn("part", block("parts")).withColumn("turn", each("turns")).withColumn("asks", F.lit(False)).select(*columns)
-        query_rows = placed.withColumn("cell", F.explode("cells")).join(cells, "cell").withColumn("turn", block("turns")).withColumn("part", each("parts")).withColumn("asks", F.lit(True)).select(*columns)
-        met = index_rows.unionByName(query_rows).groupBy("cell", "part", "turn").applyInPandas(_verify(dims, threshold), "cls long, links long, root long")
-        met = materialize(met, "met")
-        links = met.groupBy("cls").agg(F.sum("links").alias("links"))
-        edges = met.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a <> b")
-        labels = components(edges)
+    rows, dtype = packed(vectors)
+    rows = materialize(rows, "vectors")
+    classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.count(F.lit(1)).alias("mult"), F.min("vec_id").alias("least"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cls"), "vec", "mult", "least"), "classes")
+    sent = spark.sparkContext.broadcast(build_indexes(classes, dtype, threshold, recall))
+
+    def placed(batches):
+        names = ["cls", "vec", "mult", "bytes", "home", "own", "path", "goes"]
+        for batch in batches:
+            vec = batch.column(1).to_pylist()
+            sizes = np.array([len(x) for x in vec], dtype=np.int64)
+            for size in np.unique(sizes):
+                at, index = np.flatnonzero(sizes == size), sent.value.get(int(size), Flat())
+                way = index.traverse(unit(_rows([vec[i] for i in at], dtype)))
+                groups, goes = index.group(way), []
+                for cells, into in zip(way, groups, strict=True):
+                    order = np.argsort(into, kind="stable")
+                    cuts = np.flatnonzero(np.diff(into[order])) + 1
+                    goes.append([{"group": int(into[part[0]]), "cells": cells[part].tolist()} for part in np.split(order, cuts)])
+                part = batch.take(pa.array(at))
+                kind = pa.list_(pa.struct([("group", pa.int64()), ("cells", pa.list_(pa.int32()))]))
+                more = [pa.array([size] * len(at), pa.int64()), pa.array(way[:, 0]), pa.array(groups[:, 0]), pa.array(way.tolist(), pa.list_(pa.int32())), pa.array(goes, kind)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names)
+
+    fields = "cls long, vec binary, mult long, bytes long, home long, own long, path array<int>, goes array<struct<group:long,cells:array<int>>>"
+    there = materialize(classes.select("cls", "vec", "mult").mapInArrow(placed, fields), "placed")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
+    held = there.groupBy("bytes", F.col("own").alias("group")).agg(blocks.alias("parts"))
+    asked = there.select("bytes", F.explode("goes.group").alias("group")).groupBy("bytes", "group").agg(blocks.alias("turns"))
+    groups = materialize(held.join(asked, ["bytes", "group"]), "groups")
+    block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["bytes", "group", "part", "turn", "asks", "cls", "vec", "mult", "home", "cells"]
+    stays = there.withColumnsRenamed({"own": "group", "path": "cells"}).join(groups, ["bytes", "group"]).withColumn("part", block("parts")).withColumn("turn", each("turns")).withColumn("asks", F.lit(False))
+    visits = there.select("bytes", "cls", "vec", "mult", "home", F.explode("goes").alias("x")).select("*", "x.group", "x.cells").join(groups, ["bytes", "group"])
+    visits = visits.withColumn("turn", block("turns")).withColumn("part", each("parts")).withColumn("asks", F.lit(True))
+    both = stays.select(*columns).unionByName(visits.select(*columns))
+    met = materialize(both.groupBy("bytes", "group", "part", "turn").applyInPandas(_verify(dtype, threshold), "cls long, links long, root long"), "met")
+    labels = components(met.select(F.col("cls").alias("a"), F.col("root").alias("b")).where("a <> b"))
+    links = met.groupBy("cls").agg(F.sum("links").alias("links"))
     named = classes.join(labels, classes["cls"] == labels["node"], "left").join(links, "cls", "left")
-    named = named.select("cls", "least", F.coalesce("component", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"))
+    named = named.select("cls", "least", "vec", F.coalesce("component", "cls").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    answers = materialize(named.join(smallest, "component").select(F.col("cls").alias("_cls"), "n", "component_id"), "answers")
-    out = rows.select("vec_id", "cls").join(answers, F.col("cls") == F.col("_cls"), "left")
-    component = F.when(F.col("_cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    answers = materialize(named.join(smallest, "component").select(F.col("vec").alias("_vec"), "n", "component_id"), "answers")
+    out = rows.join(answers, F.col("vec") == F.col("_vec"), "left")
+    component = F.when(F.col("_vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() over all embeddings."""
     return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
