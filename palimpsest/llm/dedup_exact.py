@@ -130,12 +130,11 @@ def _shard(shards: int):
     return F.pmod(F.xxhash64("digest"), F.lit(shards)).cast("long")
 
 
-def build_index(history: DataFrame) -> tuple[DataFrame, int]:
+def build_index(history: DataFrame, shards: int) -> DataFrame:
     """The index over ``history`` (digest, winner long, n long; distinct digests): a row for each
-    shard, and the number of shards."""
-    shards = parts_for(history.count(), SHARD_KEYS)
+    shard that any of them is in."""
     dealt = history.withColumn("shard", _shard(shards))
-    return materialize(dealt.groupBy("shard").applyInPandas(_build, _INDEX), "mph"), shards
+    return materialize(dealt.groupBy("shard").applyInPandas(_build, _INDEX), "mph")
 
 
 def exact_dedup(keyed: DataFrame, known_until: int | None) -> DataFrame:
@@ -147,8 +146,11 @@ def exact_dedup(keyed: DataFrame, known_until: int | None) -> DataFrame:
     kept is then true. An empty table gives an empty result."""
     old = F.coalesce(F.col("doc_id") <= F.lit(known_until).cast("long"), F.lit(False))
     history = keyed.where(old).groupBy("digest").agg(F.max("doc_id").alias("winner"), F.sum("copies").alias("n"))
-    index, shards = build_index(materialize(history, "history"))
-    fresh = keyed.where(~old).groupBy("digest").agg(F.max("doc_id").alias("newest"), F.sum("copies").alias("n"))
+    history = materialize(history, "history")
+    fresh = materialize(keyed.where(~old).groupBy("digest").agg(F.max("doc_id").alias("newest"), F.sum("copies").alias("n")), "fresh")
+    # a shard's members and its lookups are both bounded, also where there is little history or much
+    shards = parts_for(max(history.count(), fresh.count()), SHARD_KEYS)
+    index = build_index(history, shards)
     fresh = fresh.withColumn("shard", _shard(shards))
     found = fresh.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(_look, "digest binary, newest long, n long, winner long, known long")
     fresh_groups = materialize(found.select("digest", F.greatest("newest", "winner").alias("keep_id"), (F.col("n") + F.col("known")).alias("group_size")), "looked-up")
@@ -165,12 +167,17 @@ def middle_id(docs: DataFrame) -> int | None:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
+    """exact_dedup() of docs (doc_id, text), whose older half is the history. Rows that repeat
+    both doc_id and text are one row here, with their number in ``copies``."""
     keyed = materialize(digests(docs), "digests")
     return exact_dedup(keyed, middle_id(keyed))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_documents() over all documents, with a row for each row of the table: rows that repeat
+    both doc_id and text have the same answer."""
     out = dedup_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+    out = out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
