@@ -31,6 +31,11 @@ def laid_out(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in columns])
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """bundled() with a number ``_row`` for each row, as doc_id may be null or repeat."""
+    return materialize(bundled(docs).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters (null and empty ones too) and those like no language."""
     profiles = learn_profiles(docs.where(~held_out("doc_id")))
@@ -39,7 +44,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of those with equal texts, that with the largest doc_id."""
+    """Keeps one row of those with equal texts (A-Z lower-cased; null counts as empty), that with
+    the largest doc_id. Of rows that repeat doc_id and text one stays, and all rows whose doc_id is
+    null where no equal text has one, but one for each text. An empty table stays empty."""
 
     def keyed(batches):
         for batch in batches:
@@ -59,23 +66,31 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, that with the smallest doc_id. Rows
-    with the same doc_id are one document, which goes if all of them would."""
-    answers = jaccard_components(docs)
-    stays = F.max(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
-    lost = answers.groupBy("doc_id").agg(stays.alias("stays")).where("NOT stays").select(F.col("doc_id").alias("_id"))
-    return laid_out(bundled(docs).join(lost, F.col("doc_id") == F.col("_id"), "left_anti"), docs.columns)
+    """Keeps one row of each group of near duplicates: that with the smallest doc_id, null ones
+    last, then by a hash of the text. Texts without words, null ones too, are kept, and so is all
+    of an empty table, which is nothing."""
+    rows = numbered(docs)
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "_row")
+    members = materialize(found.join(rows.select("_row", order.alias("_order")), "_row"), "members")
+    groups = members.groupBy("_group").agg(F.min("_order").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_group", F.col("_first._row").alias("_stays"))
+    lost = members.join(groups, "_group").where("_row <> _stays").select("_row")
+    return laid_out(rows.join(lost, "_row", "left_anti"), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    times = mix(docs).groupBy("doc_id").agg(F.max("times").alias("_times")).where("_times > 0").withColumnRenamed("doc_id", "_id")
-    rows = bundled(docs).join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return laid_out(rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice. Rows with one doc_id, or
+    without one, are documents of their own; null texts have no words and follow their source's
+    whole passes. An empty table stays empty."""
+    rows = numbered(docs)
+    times = mix(rows.select("doc_id", "rest.source", "text", "_row"), keep=("_row",)).where("times > 0").select("_row", "times")
+    taken = rows.join(times, "_row").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return laid_out(taken, docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 1024 tokens; a document taken twice is packed twice."""
+    """Pieces of documents in sequences of 1024 tokens; a document taken twice is packed twice. A
+    null text is packed as its end id alone, a null doc_id is told as it is, no rows give no pieces."""
     return pack_documents(docs).drop("copy")
 
 
