@@ -14,7 +14,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_secret_scan": secrets.op9_secret_scan,
-    "op9_secret_scan_repositories": secrets.op9_secret_scan_repositories,
+    "op9_secret_scan_repositories": secrets.op9_secret_scan,  # its name before op9_secret_scan counted repositories too
     "op10_embedding_near_dedup": embedding_dedup.op10_embedding_near_dedup,
 }
 
@@ -22,5 +22,5 @@ SQL = {
     "op1_chat_format": chat_format.OP1_SQL,
     "op6_exact_dedup": dedup_exact.OP6_SQL,
     "op9_secret_scan": secrets.OP9_SQL,
-    "op9_secret_scan_repositories": secrets.OP9_REPOSITORIES_SQL,
+    "op9_secret_scan_repositories": secrets.OP9_SQL,
 }

@@ -4,9 +4,8 @@ Candidates are found by patterns. The hash of each candidate's value is counted
 distinct documents (repositories) and distinct sources (owners): a value in the hands of
 ``SHARED_OWNERS`` or more owners, or in ``SHARED_DOCUMENTS`` or more documents, is a widely copied
 example; one that fewer have and that looks like a random key is taken for a live credential of its
-owner. op9_secret_scan decides by owners alone, as its SQL does; op9_secret_scan_repositories
-decides by both. Only DataFrame functions are used;
-texts stay in the scan, and only candidates, as positions and hashes, are shuffled.
+owner. Only DataFrame functions are used; texts stay in the scan, and only candidates, as positions
+and hashes, are shuffled.
 """
 
 from __future__ import annotations
@@ -30,24 +29,30 @@ SHARED_DOCUMENTS = 10
 LIVE_LEAST = 16
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{4,}|\*{3,}|0{8,}|12345678"
 _SPAN = "array<struct<first:int,kind:int,last:int,start:int,value:string>>"
+#: Matches that are laid out together: appending to a list copies it, so long lists are made of parts.
+_PART = 512
 
 
 def _matches(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
     """Spans (first, kind, last) of the leftmost matches that don't overlap, and the start and
     text of their value; the value stands at the match's end. Positions count code points."""
     gaps, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    rows = F.slice(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value")), F.lit(1), F.size(whole))
+    none = F.array().cast(_SPAN)
 
     def step(state: Column, row: Column) -> Column:
         first = state["at"] + F.length(row["gap"])
         last = first + F.length(row["whole"])
         span = F.struct(first.alias("first"), F.lit(kind).alias("kind"), last.alias("last"), (last - F.length(row["value"])).alias("start"), row["value"].alias("value"))
-        ok = F.length(row["value"]) >= least
-        return F.struct(F.coalesce(last, first).alias("at"), F.when(F.coalesce(ok, F.lit(False)), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+        return F.struct(last.alias("at"), F.when(F.length(row["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    found = F.aggregate(rows, empty, step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(_SPAN))
+    def part(state: Column, rows: Column) -> Column:
+        own = F.aggregate(rows, F.struct(state["at"].alias("at"), none.alias("spans")), step)
+        return F.struct(own["at"].alias("at"), F.concat(state["spans"], own["spans"]).alias("spans"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _PART).cast("int")), lambda k: F.slice(rows, k * _PART + 1, F.lit(_PART)))
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("spans")), part)["spans"]
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -60,12 +65,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["first"].cast("string"), x["last"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS, shared_documents: int | None = SHARED_DOCUMENTS) -> DataFrame:
+def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS, shared_documents: int = SHARED_DOCUMENTS) -> DataFrame:
     """(doc_id, base, added) for every row of docs (doc_id, source, text): arrays of spans.
 
     ``added`` has a span over a candidate's value: ``example`` where ``shared_owners`` or more
-    sources or ``shared_documents`` or more distinct doc_ids have the value (None: sources alone),
-    ``live`` where fewer do and it looks like a key; a value found by two patterns is added once. A
+    sources or ``shared_documents`` or more distinct doc_ids have the value, ``live`` where fewer do
+    and it looks like a key; a value found by two patterns is added once. A
     null text is empty and has no spans; a null source is an owner and a null doc_id a repository
     like any other. Repeated rows are scanned one by one and count as one repository."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -74,9 +79,9 @@ def scan(docs: DataFrame, shared_owners: int = SHARED_OWNERS, shared_documents:
     each = found.where(F.size("base") > 0).select("row", "doc_id", "owner", F.explode("base").alias("x"))
     each = each.select("row", "doc_id", "owner", "x.start", "x.last", "x.digest", "x.live")
     counted = lambda key, name: each.groupBy("digest", key).agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("one").alias(name))
-    owned, shared = counted("owner", "owners"), F.col("owners") >= shared_owners
-    if shared_documents is not None:
-        owned, shared = owned.join(counted("doc_id", "repositories"), "digest"), shared | (F.col("repositories") >= shared_documents)
+    # written, so that the join reads counts and a value that very many documents hold can be split
+    owned = materialize(counted("owner", "owners").join(counted("doc_id", "repositories"), "digest"), "owned")
+    shared = (F.col("owners") >= shared_owners) | (F.col("repositories") >= shared_documents)
     kinds = each.join(owned, "digest").withColumn("kind", F.when(shared, 3).when(F.col("live"), 4)).where("kind IS NOT NULL")
     spans = kinds.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), F.col("kind").cast("int").alias("kind"), F.col("last").alias("last")))).alias("added"))
     base = F.transform("base", lambda x: F.struct(x["first"].alias("first"), x["kind"].alias("kind"), x["last"].alias("last"))).alias("base")
@@ -97,10 +102,7 @@ def _listed(out: DataFrame) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(scan(table(spark, sf_dir, "documents", "doc_id", "source", "text"), shared_documents=None))
-
-
-def op9_secret_scan_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan() over all documents."""
     return _listed(scan(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
 
 
@@ -118,15 +120,12 @@ OP9_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
 found AS ({" UNION ALL ".join(_sql_spans(*x) for x in (("assign", 0, ASSIGN, 2, ASSIGN_LEAST), ("access", 1, ACCESS, 0, 1), ("hex", 2, HEX, 0, 1)))}),
 base AS (SELECT doc_id, owner, k, kind, last - length(whole) AS first, last, last - length(value) AS start, value FROM found),
-owned AS (SELECT value, count(DISTINCT owner) AS owners FROM base GROUP BY value),
-extra AS (SELECT DISTINCT doc_id, CASE WHEN owners >= {SHARED_OWNERS} THEN 3 ELSE 4 END AS k, CASE WHEN owners >= {SHARED_OWNERS} THEN 'example' ELSE 'live' END AS kind, start AS first, last FROM base JOIN owned USING (value)
-  WHERE owners >= {SHARED_OWNERS} OR (length(value) >= {LIVE_LEAST} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '{PLACEHOLDER}'))),
+owned AS (SELECT value, count(DISTINCT owner) >= {SHARED_OWNERS} OR count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= {SHARED_DOCUMENTS} AS shared FROM base GROUP BY value),
+extra AS (SELECT DISTINCT doc_id, CASE WHEN shared THEN 3 ELSE 4 END AS k, CASE WHEN shared THEN 'example' ELSE 'live' END AS kind, start AS first, last FROM base JOIN owned USING (value)
+  WHERE shared OR (length(value) >= {LIVE_LEAST} AND regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '{PLACEHOLDER}'))),
 every AS (SELECT doc_id, k, kind, first, last FROM base UNION ALL SELECT doc_id, k, kind, first, last FROM extra),
 lists AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
   string_agg(concat_ws(':', kind, first, last), ',' ORDER BY first, k) FILTER (k < 3) AS base, string_agg(concat_ws(':', kind, first, last), ',' ORDER BY first, k, last) AS spans FROM every GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN lists USING (doc_id)
 """
-
-OP9_REPOSITORIES_SQL = OP9_SQL.replace("count(DISTINCT owner) AS owners", "count(DISTINCT owner) AS owners, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories")
-OP9_REPOSITORIES_SQL = OP9_REPOSITORIES_SQL.replace(f"owners >= {SHARED_OWNERS}", f"(owners >= {SHARED_OWNERS} OR repositories >= {SHARED_DOCUMENTS})")
