@@ -66,9 +66,10 @@ def paths(nodes: DataFrame) -> DataFrame:
 def format_branches(messages: DataFrame, best: int | None = None, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """Conversations from messages (tree, node, parent, role, text, score).
 
-    Returns tree, leaf, score, n_turns, formatted and loss_spans (array of first, last: code points
-    of ``formatted`` that are trained on, which are the texts of ``loss_roles``). ``best`` keeps so
-    many branches of each tree, by mean score (nulls left out, none: lowest), ties by leaf. A null
+    Returns tree, leaf, score, branch_rank, n_turns, formatted and loss_spans (array of first, last:
+    code points of ``formatted`` that are trained on, which are the texts of ``loss_roles``). A
+    tree's branches are ranked from 1 by mean score (nulls left out, none: lowest), ties by leaf;
+    ``best`` keeps so many of them. A null
     role or text is empty, a null tree is a tree, a null node is dropped by nobody but can't be
     answered: such rows must be numbered before. Of rows with the same tree and node the first by
     (role, text) counts. Empty messages give an empty result."""
@@ -76,25 +77,28 @@ def format_branches(messages: DataFrame, best: int | None = None, loss_roles: tu
     rows = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"))
     rows = rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     on = paths(rows.select("tree", "node", "parent"))
+    scores = rows.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "score")
+    means = on.join(scores, _same(on, scores, tree="_t", node="_n")).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
+    rank = Window.partitionBy("tree").orderBy(F.desc_nulls_last("score"), "leaf")
+    ranked = means.withColumn("branch_rank", F.row_number().over(rank))
+    chosen = materialize(ranked if best is None else ranked.where(F.col("branch_rank") <= best), "chosen")
     if best is not None:
-        scores = rows.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "score")
-        means = on.join(scores, _same(on, scores, tree="_t", node="_n")).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
-        rank = Window.partitionBy("tree").orderBy(F.desc_nulls_last("score"), "leaf")
-        chosen = means.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= best).select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"))
-        on = on.join(chosen, _same(on, chosen, tree="_t", leaf="_l"), "left_semi")
-    said = rows.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text", "score")
-    turns = on.join(said, _same(on, said, tree="_t", node="_n")).select("tree", "leaf", "up", "role", "score", escape(F.col("text")).alias("body"))
+        kept = chosen.select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"))
+        on = on.join(kept, _same(on, kept, tree="_t", leaf="_l"), "left_semi")
+    said = rows.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "role", "text")
+    turns = on.join(said, _same(on, said, tree="_t", node="_n")).select("tree", "leaf", "up", "role", escape(F.col("text")).alias("body"))
     turns = turns.withColumn("head", F.concat(F.lit(ROLE), escape(F.col("role")), F.lit(ROLE_END)))
     turns = turns.withColumn("length", (F.length("head") + F.length("body") + len(END)).cast("long"))
     before = Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)
     at = F.lit(len(BEGIN)) + F.coalesce(F.sum("length").over(before), F.lit(0)) + F.length("head")
     turns = turns.withColumn("at", at.cast("long"))
     span = F.when(F.col("role").isin(*loss_roles), F.struct(F.col("at").alias("first"), (F.col("at") + F.length("body")).alias("last")))
-    turns = turns.select("tree", "leaf", "score", F.struct((-F.col("up")).alias("place"), F.concat("head", "body", F.lit(END)).alias("turn"), span.alias("span")).alias("x"))
-    out = turns.groupBy("tree", "leaf").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list("x")).alias("x"))
+    turns = turns.select("tree", "leaf", F.struct((-F.col("up")).alias("place"), F.concat("head", "body", F.lit(END)).alias("turn"), span.alias("span")).alias("x"))
+    out = turns.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list("x")).alias("x"))
     formatted = F.concat(F.lit(BEGIN), F.array_join(F.transform("x", lambda x: x["turn"]), ""))
     spans = F.filter(F.transform("x", lambda x: x["span"]), lambda x: x.isNotNull())
-    return out.select("tree", "leaf", "score", "n_turns", formatted.alias("formatted"), spans.alias("loss_spans"))
+    out = out.select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "n_turns", formatted.alias("formatted"), spans.alias("loss_spans"))
+    return chosen.join(out, _same(chosen, out, tree="_t", leaf="_l")).select("tree", "leaf", "score", "branch_rank", "n_turns", "formatted", "loss_spans")
 
 
 def read_back(formatted: Column) -> Column:
@@ -111,21 +115,25 @@ def trained_on(formatted: Column, spans: Column) -> Column:
 
 
 def turns_as_tree(rows: DataFrame) -> DataFrame:
-    """Messages from conversations that go by turn: each answers the turn before. Rows with the
-    same turn are taken in the order of (role, text), null turns first."""
+    """Messages from conversations that go by turn: each answers the turn before, and its score is
+    the length of its text. Rows with the same turn are taken in the order of (role, text), null
+    turns first."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.select(F.col("conv_id").alias("tree"), F.row_number().over(order).cast("long").alias("node"), "role", "text")
-    return numbered.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
+    return numbered.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.coalesce(F.length("text"), F.lit(0)).cast("double"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best branch of every conversation, whose turns are a tree of one branch, formatted and
+    read back. A conversation's turns come together in one row, as its text does. Null, empty and
+    very long texts are turns like others; an empty table gives conversation -7 alone."""
     text = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").unionByName(more)
-    out = format_branches(materialize(turns_as_tree(rows), "turns"))
+    out = format_branches(materialize(turns_as_tree(rows), "turns"), best=1)
     read = F.array_join(F.transform(read_back(F.col("formatted")), lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     trained = trained_on(F.col("formatted"), F.col("loss_spans"))
-    return out.select(F.col("tree").alias("conv_id"), F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(read, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return out.select(F.col("tree").alias("conv_id"), F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"), F.sha2(read, 256).alias("turns_sha256"), F.length(trained).cast("long").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "branch_rank", F.round("score", 6).alias("score"))
 
 
 OP1_SQL = rf"""
@@ -135,6 +143,6 @@ WITH c AS (
 e AS (SELECT *, regexp_replace(role, '{_CONTROL}', '\1\2\\\3', 'g') AS er, regexp_replace(text, '{_CONTROL}', '\1\2\\\3', 'g') AS et FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-  CAST(3 + sum(length(er) + length(et) + 17) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+  CAST(3 + sum(length(er) + length(et) + 17) AS BIGINT) AS formatted_chars, round(avg(length(text)), 6) AS score FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, 1 AS branch_rank, score FROM g
 """
