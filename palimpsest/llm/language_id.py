@@ -161,6 +161,7 @@ def held_out(doc_id) -> Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict_language() over all documents, by profiles of those that aren't held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out("doc_id"))
     profiles = learn_profiles(docs.where("NOT held_out"))
     return predict_language(docs, profiles, ["doc_id", "held_out"])

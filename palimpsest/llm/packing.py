@@ -179,4 +179,5 @@ def pack_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() over all documents."""
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text")).drop("copy")

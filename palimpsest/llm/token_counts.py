@@ -114,4 +114,5 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens() over all documents."""
     return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))

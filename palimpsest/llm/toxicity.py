@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize, table
 
-#: The label columns that the tables have, in the order of the chain.
+#: The label columns that the tables have, in the order of the chain; toxicity is one of them, not several.
 CATEGORIES = ("quality", "toxic")
 SAMPLE = 8_000
+#: Features that are fitted; they come from at most SAMPLE documents, so there are at most so many to choose from.
 FEATURES = 6_000
 FOLDS = 3
 ROUNDS = 50
@@ -147,12 +148,12 @@ class Chain:
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, sample: int = SAMPLE) -> Chain:
     """A chain from labelled documents: docs (doc_id, text), labels (doc_id, a 0/1 column for each
-    category). Repeated labels of a document count as their maximum, missing ones aren't used.
-    Without any labelled document every category has one constant answer, no."""
+    category). Repeated labels of a document count as their maximum, missing ones aren't used; of
+    several texts under one doc_id the first by code point is learned from. Without any labelled document every category has one constant answer, no."""
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.col(c).cast("double")).alias(c) for c in categories])
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    labelled = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    labelled = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
 
     def listed(batches):
         for batch in batches:
@@ -213,6 +214,8 @@ def score_documents(docs: DataFrame, chain: Chain, categories: tuple[str, ...] =
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_documents() over all documents, by a chain from all labels. Repeated rows are answered
+    alike, null and empty texts by what the intercepts say."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     chain = train_chain(docs, table(spark, sf_dir, "labels", "doc_id", *CATEGORIES))
     out = score_documents(docs, chain)
