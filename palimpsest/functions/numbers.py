@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 _NUMBER = re.compile(r"(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?\Z")
 _FLIP = str.maketrans("0123456789", "9876543210")
 
@@ -27,3 +30,21 @@ def order_key(text: str) -> str:
     exponent = power + len(whole) - 1 - (len(whole + fraction) - len(digits))
     body = _exponent(exponent) + digits.rstrip("0")
     return "2" + body.translate(_FLIP) + "~" if sign else "8" + body
+
+
+def order_key_of(text: Column) -> Column:
+    """order_key() of a column; null where the text is no number. Exponents of more than 37 digits
+    aren't told apart from each other."""
+    part = lambda i: F.regexp_extract(text, r"^(-?)(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$", i)
+    every = F.concat(part(2), part(3))
+    digits = F.ltrim(every, F.lit("0"))
+    power = F.when(part(4) == "", "0").otherwise(F.regexp_replace(part(4), r"^([+-]?)0+(?=\d)", "$1"))
+    huge = F.rpad(F.regexp_extract(power, "^(-?)", 1), 38, "9")
+    power = F.when(F.length(power) > 37, huge).otherwise(power).cast("decimal(38,0)")
+    exponent = (power + F.length(part(2)) - 1 - (F.length(every) - F.length(digits))).cast("decimal(38,0)")
+    size = F.abs(exponent).cast("string")
+    body = F.concat(F.lpad(F.length(size).cast("string"), 6, "0"), size)
+    flip = lambda x: F.translate(x, "0123456789", "9876543210")
+    body = F.concat(F.when(exponent >= 0, F.concat(F.lit("7"), body)).otherwise(F.concat(F.lit("3"), flip(body))), F.rtrim(digits, F.lit("0")))
+    key = F.when(digits == "", "5").when(part(1) == "-", F.concat(F.lit("2"), flip(body), F.lit("~"))).otherwise(F.concat(F.lit("8"), body))
+    return F.when(part(2) != "", key)

@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def with_members(sessions: DataFrame, members: DataFrame) -> DataFrame:
-    """Sessions with the array ``members`` (peer, active), for filters on peer_id. A peer is listed
-    once for each activity, so the array is bounded by a session's peers."""
-    lists = members.groupBy(F.col("session").alias("name")).agg(F.collect_set(F.struct("peer", "active")).alias("members"))
-    return sessions.join(lists, "name", "left").withColumn("members", F.coalesce("members", F.array().cast("array<struct<peer:string,active:boolean>>")))
+from palimpsest.plans.filters import ASKED, compile_session_filter
+
+
+def where_sessions(sessions: DataFrame, members: DataFrame, request: str | None) -> DataFrame:
+    """Sessions (name, ...) that a filter matches, with members (session, peer, active). Only
+    active members that some test of the filter is about are read on; a session's answers are
+    partial aggregates, so no list of members is made, however many a session has."""
+    condition, asked = compile_session_filter(request)
+    if not asked:
+        return sessions.where(condition)
+    tests = [F.coalesce(test(F.col("peer")), F.lit(False)) for test in asked]
+    about = members.where(F.col("active") & reduce(Column.__or__, tests))
+    names = [ASKED.format(i) for i in range(len(asked))]
+    answers = about.groupBy(F.col("session").alias("_session")).agg(*[F.bool_or(t).alias(n) for t, n in zip(tests, names, strict=True)])
+    both = sessions.join(answers, F.col("name") == F.col("_session"), "left")
+    return both.withColumns({n: F.coalesce(n, F.lit(False)) for n in names}).where(condition).select(*sessions.columns)
 
 
 def sessions_with(sessions: DataFrame, members: DataFrame, peer: str) -> DataFrame:

@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.plans.metadata import ARRAY, BOOLEAN, NULL, NUMBER, STRING, Lexeme, scalar, strict_loads
+from palimpsest.functions.levels import LEVELS, level_name
+from palimpsest.plans.metadata import BOOLEAN, NUMBER, STRING, Lexeme, elements, equal_to, is_string, marked, number_key, scalar, strict_loads, string_of, value_at
 
 OPERATORS = ("gt", "gte", "lt", "lte", "ne", "in", "contains", "icontains")
 ORDER = ("gt", "gte", "lt", "lte")
@@ -35,26 +36,30 @@ class FilterError(ValueError):
 @dataclass(frozen=True)
 class Field:
     """A filterable field: its type (text, number, time, bool or meta) and its column. ``members``:
-    the column is an array of struct(peer, active), and some active member has to match."""
+    the column is an array of struct(peer, active), and some active member has to match. With
+    ``asked``, members are rows of their own: each test of a member's column is put there, and
+    stands in the condition as a column of that number."""
 
     type: str
     column: str
     members: bool = False
+    asked: list | None = None
 
 
-_NAMED = {"id": Field("text", "name"), "created_at": Field("time", "created_at"), "metadata": Field("meta", "m")}
+_NAMED = {"id": Field("text", "name"), "created_at": Field("time", "created_at"), "metadata": Field("meta", "metadata")}
 RESOURCES: dict[str, dict[str, Field]] = {
     "workspace": {**_NAMED, "name": Field("text", "name")},
     "peer": {**_NAMED, "peer_id": Field("text", "name")},
     "session": {**_NAMED, "session_id": Field("text", "name"), "is_active": Field("bool", "is_active"), "peer_id": Field("text", "members", members=True)},
-    "message": {"id": Field("text", "id"), "session_id": Field("text", "session"), "peer_id": Field("text", "peer"), "content": Field("text", "content"), "token_count": Field("number", "token_count"), "created_at": Field("time", "created_at"), "metadata": Field("meta", "m")},
-    "conclusion": {"id": Field("text", "id"), "observer_id": Field("text", "observer"), "observed_id": Field("text", "observed"), "session_id": Field("text", "session"), "created_at": Field("time", "created_at")},
+    "message": {"id": Field("text", "id"), "session_id": Field("text", "session"), "peer_id": Field("text", "peer"), "content": Field("text", "content"), "token_count": Field("number", "token_count"), "created_at": Field("time", "created_at"), "metadata": Field("meta", "metadata")},
+    # level is asked for by the library itself, by its wire name
+    "conclusion": {"id": Field("text", "id"), "level": Field("level", "level"), "observer_id": Field("text", "observer"), "observed_id": Field("text", "observed"), "session_id": Field("text", "session"), "created_at": Field("time", "created_at")},
 }
 
 
-def compile_filter(request: str | None, resource: str) -> Column:
+def compile_filter(request: str | None, resource: str, fields: dict[str, Field] | None = None) -> Column:
     """The condition of a filter's JSON text; null, blank, ``null`` and ``{}`` match all. Fields
-    that the resource doesn't have are ignored."""
+    that the resource (or ``fields``) doesn't have are ignored."""
     if request is None or not request.strip():
         return F.lit(True)
     try:
@@ -65,7 +70,19 @@ def compile_filter(request: str | None, resource: str) -> Column:
         return F.lit(True)
     if not isinstance(root, dict):
         raise FilterError("a filter is an object")
-    return _object(root, RESOURCES[resource])
+    return _object(root, RESOURCES[resource] if fields is None else fields)
+
+
+#: The column of the answer to a test of members.
+ASKED = "_asked{}"
+
+
+def compile_session_filter(request: str | None) -> tuple[Column, list[Callable[[Column], Column]]]:
+    """The condition of a filter on sessions, and the tests of active members' names that it needs
+    the answers to, as columns ASKED by number: whether some active member passes."""
+    asked: list[Callable[[Column], Column]] = []
+    fields = RESOURCES["session"] | {"peer_id": Field("text", "peer", members=True, asked=asked)}
+    return compile_filter(request, "session", fields), asked
 
 
 def _all(parts: list[Column]) -> Column:
@@ -95,8 +112,13 @@ def _known(condition: Column) -> Column:
 
 def _on(field: Field, test: Callable[[Column], Column]) -> Column:
     """Whether the field's value, or some active member, passes."""
+    if field.type == "level":
+        return test(level_name(F.col(field.column)))
     if not field.members:
         return test(F.col(field.column))
+    if field.asked is not None:
+        field.asked.append(test)
+        return F.col(ASKED.format(len(field.asked) - 1))
     return F.exists(field.column, lambda x: x["active"] & _known(test(x["peer"])))
 
 
@@ -125,7 +147,7 @@ def _field(name: str, field: Field, value) -> Column:
 def _operator(name: str, field: Field, op: str, operand) -> Column:
     if op not in OPERATORS:
         raise FilterError(f"{name}: unknown operator {op}")
-    if (op == "in" and field.type == "bool") or ("contains" in op and field.type != "text") or (op in ORDER and field.type not in ("number", "time")):
+    if (op == "in" and field.type == "bool") or ("contains" in op and field.type not in ("text", "level")) or (op in ORDER and field.type not in ("number", "time")):
         raise FilterError(f"{name}: {op} isn't for this field")
     if op == "in":
         if not isinstance(operand, list):
@@ -147,12 +169,17 @@ def _in(name: str, field: Field, items: list) -> Column:
         return F.lit(True)
     values = [_operand(name, field, x) for x in items if x is not None]
     literals = [v for v, beyond in values if not beyond]
+    if field.type == "level":  # numbers are compared, so that the scan can skip
+        return F.col(field.column).isin([LEVELS.index(x) for x in items if x in LEVELS])
     found = _on(field, lambda c: c.isin(literals)) if literals else F.lit(False)
     return found | _unset(field) if None in items else found
 
 
 def _compare(name: str, field: Field, op: str, raw) -> Column:
     value, beyond = _operand(name, field, raw)
+    if field.type == "level" and op in ("eq", "ne"):  # names of no level equal none
+        same = F.col(field.column) == LEVELS.index(raw) if raw in LEVELS else F.lit(False)
+        return ~same if op == "ne" else same
     if beyond and field.type == "number":  # every stored count lies on one side of it
         return F.lit(op == "ne" or op in (("lt", "lte") if beyond > 0 else ("gt", "gte")))
     if beyond:  # a time between two microseconds
@@ -169,7 +196,7 @@ def _compare(name: str, field: Field, op: str, raw) -> Column:
 def _operand(name: str, field: Field, raw) -> tuple[Column | None, int]:
     """The literal of an operand, and whether it lies beyond (1, -1: a count too large or too
     small; 1: a time with tenths of a microsecond, whose literal is cut)."""
-    if field.type == "text" and isinstance(raw, str) and not isinstance(raw, Lexeme):
+    if field.type in ("text", "level") and isinstance(raw, str) and not isinstance(raw, Lexeme):
         return F.lit(str(raw)), 0
     if field.type == "bool" and isinstance(raw, bool):
         return F.lit(raw), 0
@@ -208,7 +235,7 @@ def _time(name: str, m: re.Match) -> tuple[Column, int]:
     return F.lit(at.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz"), int(tenths % 10 > 0)
 
 
-# Metadata: conditions over the sidecar.
+# Metadata: conditions over the JSON text.
 
 
 def _metadata(value, column: str) -> Column:
@@ -232,21 +259,15 @@ def _metadata(value, column: str) -> Column:
 
 
 def _entry(column: str, path: list[str], test: Callable[[Column], Column]) -> Column:
-    where = F.array(*[F.lit(x) for x in path])
-    return _known(F.exists(column, lambda e: (e["path"] == where) & _known(test(e))))
-
-
-def _equal(e: Column, operand) -> Column:
-    kind, text, number = scalar(operand)
-    return (e["kind"] == kind) & (e["num"] == number if kind == NUMBER else e["str"] == text)
+    return _known(test(value_at(marked(F.col(column)), path)))
 
 
-def _holds(e: Column, operand) -> Column:
-    return F.exists(e["el"], lambda x: _known(_equal(x, operand)))
+def _holds(value: Column, operand) -> Column:
+    return F.exists(elements(value), lambda x: _known(equal_to(x, operand)))
 
 
 def _set(column: str, path: list[str]) -> Column:
-    return _entry(column, path, lambda e: e["kind"] != NULL)
+    return _entry(column, path, Column.isNotNull)
 
 
 def _key(column: str, path: list[str], value) -> Column:
@@ -256,7 +277,7 @@ def _key(column: str, path: list[str], value) -> Column:
         if not value or len(value) > MOST_ITEMS:
             raise FilterError(f"{path}: a list of {len(value)} items")
         wanted = [_scalar(path, x) for x in value]
-        return _entry(column, path, lambda e: (e["kind"] == ARRAY) & _all([_holds(e, w) for w in wanted]))
+        return _entry(column, path, lambda v: _all([_holds(v, w) for w in wanted]))
     if isinstance(value, dict):
         operators = sum(k in OPERATORS for k in value)
         if not value or 0 < operators < len(value):
@@ -266,7 +287,7 @@ def _key(column: str, path: list[str], value) -> Column:
         return _all([_key_operator(column, path, op, x) for op, x in value.items()])
     if value == "*" and not isinstance(value, Lexeme):
         return _set(column, path)
-    return _entry(column, path, lambda e: _equal(e, value))
+    return _entry(column, path, lambda v: equal_to(v, value))
 
 
 def _scalar(path: list[str], value, kinds: tuple[int, ...] = (STRING, NUMBER, BOOLEAN)):
@@ -277,25 +298,26 @@ def _scalar(path: list[str], value, kinds: tuple[int, ...] = (STRING, NUMBER, BO
 
 def _key_operator(column: str, path: list[str], op: str, operand) -> Column:
     if op == "ne":
-        return _set(column, path) if operand is None else ~_entry(column, path, lambda e: _equal(e, _scalar(path, operand)))
+        return _set(column, path) if operand is None else ~_entry(column, path, lambda v: equal_to(v, _scalar(path, operand)))
     if op == "in":
         if not isinstance(operand, list) or len(operand) > MOST_ITEMS:
             raise FilterError(f"{path}: in takes a list of up to {MOST_ITEMS} items")
         if any(x == "*" and not isinstance(x, Lexeme) for x in operand):
             return _set(column, path)
         wanted = [_scalar(path, x) for x in operand if x is not None]
-        by: dict[int, list[str]] = {}
-        for x in wanted:
-            kind, text, number = scalar(x)
-            by.setdefault(kind, []).append(number if kind == NUMBER else text)
-        found = _entry(column, path, lambda e: _any([(e["kind"] == k) & (e["num"] if k == NUMBER else e["str"]).isin(v) for k, v in by.items()])) if by else F.lit(False)
+        numbers = [scalar(x)[2] for x in wanted if scalar(x)[0] == NUMBER]
+        others = [x for x in wanted if scalar(x)[0] != NUMBER]
+        same = lambda v: _any([number_key(v).isin(numbers)] * bool(numbers) + [equal_to(v, x) for x in others])
+        found = _entry(column, path, same)
         return found | ~_set(column, path) if None in operand else found
     if op in ("contains", "icontains"):
         text = F.lit(str(_scalar(path, operand, (STRING,))))
         fold = F.upper if op == "icontains" else lambda c: c
-        return _entry(column, path, lambda e: ((e["kind"] == STRING) & F.contains(fold(e["str"]), fold(text))) | ((e["kind"] == ARRAY) & F.exists(e["el"], lambda x: (x["kind"] == STRING) & (fold(x["str"]) == fold(text)))))
+        inside = lambda v: is_string(v) & F.contains(fold(string_of(v)), fold(text))
+        among = lambda v: F.exists(elements(v), lambda x: _known(is_string(x) & (fold(string_of(x)) == fold(text))))
+        return _entry(column, path, lambda v: _known(inside(v)) | _known(among(v)))
     kind, text, number = scalar(_scalar(path, operand, (NUMBER, STRING)))
     tests = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
     if kind == NUMBER:
-        return _entry(column, path, lambda e: (e["kind"] == NUMBER) & tests[op](e["num"], F.lit(number)))
-    return _entry(column, path, lambda e: (e["kind"] == STRING) & tests[op](F.encode(e["str"], "UTF-16BE"), F.encode(F.lit(text), "UTF-16BE")))
+        return _entry(column, path, lambda v: tests[op](number_key(v), F.lit(number)))
+    return _entry(column, path, lambda v: is_string(v) & tests[op](F.encode(string_of(v), "UTF-16BE"), F.encode(F.lit(text), "UTF-16BE")))

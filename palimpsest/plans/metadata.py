@@ -1,21 +1,23 @@
-"""The metadata sidecar: JSON objects taken apart once, when they are read in.
+"""Values of JSON metadata as columns, with the exact text of numbers.
 
-Spark's JSON functions lose the text of numbers, so an Arrow function lists every value of an
-object with its path and kind; filters are then plain higher-order functions over that list.
+Spark's JSON functions turn numbers into doubles. So every string and number of a JSON text is
+first made a string that tells them apart, by one regular expression: a string ends in a mark, a
+number begins with one and doesn't end in it. Values then come from ``from_json`` over maps of
+strings, where true, false, objects and arrays are their own JSON text and null is null.
 """
 
 from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.numbers import order_key
+from palimpsest.functions.numbers import order_key, order_key_of
 
 NULL, STRING, NUMBER, BOOLEAN, ARRAY, OBJECT = range(6)
-SIDECAR = "array<struct<path:array<string>,kind:int,str:string,num:string,el:array<struct<kind:int,str:string,num:string>>>>"
+#: Ends strings and begins numbers.
+MARK = "\x01"
 
 
 class Lexeme(str):
@@ -65,30 +67,41 @@ def scalar(value) -> tuple[int, str | None, str | None]:
     return (ARRAY if isinstance(value, list) else OBJECT), None, None
 
 
-def entries(text: str | None) -> list[tuple]:
-    """Every value below the root object; objects are walked, arrays list their scalars."""
-    out: list[tuple] = []
+def marked(text: Column) -> Column:
+    """The JSON text with marks. Escaped quotes are written as code points first, so that a string
+    ends at the next quote."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+    return F.regexp_replace(plain, r'"([^"]*+)"|(-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?)', r'"$1\\u0001$2"')
 
-    def walk(value: dict, path: list[str]) -> None:
-        for key, item in value.items():
-            kind, string, number = scalar(item)
-            elements = [scalar(x) for x in item if not isinstance(x, dict | list)] if kind == ARRAY else None
-            out.append(([*path, key], kind, string, number, elements))
-            if kind == OBJECT:
-                walk(item, [*path, key])
 
-    root = strict_loads(text) if text and text.strip() else {}
-    if not isinstance(root, dict):
-        raise ValueError("metadata must be an object")
-    walk(root, [])
-    return out
+def value_at(text: Column, path: list[str]) -> Column:
+    """The marked value at a path of keys, from marked(); null where it is null or isn't there."""
+    for key in path:
+        text = F.from_json(F.when(F.ltrim(text).startswith("{"), text), "map<string,string>")[key + MARK]
+    return text
+
+
+def elements(value: Column) -> Column:
+    """The marked elements of a value that is an array, else null."""
+    return F.from_json(F.when(value.startswith("["), value), "array<string>")
+
+
+def is_string(value: Column) -> Column:
+    return value.endswith(MARK)
+
+
+def string_of(value: Column) -> Column:
+    return F.substring(value, 1, F.length(value) - 1)
 
 
-def _listed(text: pd.Series) -> pd.Series:
-    fields, inner = ("path", "kind", "str", "num", "el"), ("kind", "str", "num")
-    return text.map(lambda x: [dict(zip(fields, (*e[:4], None if e[4] is None else [dict(zip(inner, y, strict=True)) for y in e[4]]), strict=True)) for e in entries(x)])
+def number_key(value: Column) -> Column:
+    """The order key of a value that is a number, else null."""
+    return order_key_of(F.when(value.startswith(MARK) & ~is_string(value), F.substring(value, 2, F.length(value))))
 
 
-def with_sidecar(frame: DataFrame, column: str = "metadata", name: str = "m") -> DataFrame:
-    """Adds the sidecar of a JSON column. Null or blank text is an empty object."""
-    return frame.withColumn(name, F.pandas_udf(_listed, SIDECAR)(F.col(column)))
+def equal_to(value: Column, operand) -> Column:
+    """Whether a marked value is the same as a scalar."""
+    kind, text, number = scalar(operand)
+    if kind == NUMBER:
+        return number_key(value) == number
+    return value == (text + MARK if kind == STRING else text)

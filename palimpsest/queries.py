@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keys as K
 from palimpsest.functions import text as X
+from palimpsest.functions.levels import level_name
 from palimpsest.functions.vectors import embed
 from palimpsest.operators import dedup, members, observe, paging, represent, search, transcript
 from palimpsest.operators import work_queue as Q
 from palimpsest.plans.filters import compile_filter
-from palimpsest.sources import log, schema, views as V
+from palimpsest.sources import log, views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +37,7 @@ def _filtered(name: str, request: str, where: str, resource: str = "message", vi
     """A filter over one of the message views, beside the condition that it means."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = V.messages(spark, sf_dir) if view == "messages" else V.event_messages(spark, sf_dir, sidecar="metadata" in request)
+        rows = V.messages(spark, sf_dir) if view == "messages" else V.event_messages(spark, sf_dir)
         return rows.where(compile_filter(request, resource)).select(*columns.split(", "))
 
     QUERIES[name] = run
@@ -74,10 +75,7 @@ _SESSIONS = f"WITH {V.ORDER_SESSIONS}, {V.ORDER_MEMBERS}"
 
 def _sessions(name: str, request: str, where: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = V.order_sessions(spark, sf_dir)
-        if "peer_id" in request:
-            rows = members.with_members(rows, V.order_members(spark, sf_dir))
-        return rows.where(compile_filter(request, "session")).select("name")
+        return members.where_sessions(V.order_sessions(spark, sf_dir), V.order_members(spark, sf_dir), request).select("name")
 
     QUERIES[name] = run
     SQL[name] = f"{_SESSIONS} SELECT name FROM order_sessions s WHERE {where}"
@@ -326,7 +324,7 @@ def collection_counters(spark, sf_dir):
 
 @query(f"WITH {V.TEXT_CONCLUSIONS} SELECT id, CASE level WHEN 0 THEN 'explicit' WHEN 1 THEN 'deductive' ELSE 'inductive' END AS level FROM text_conclusions")
 def level_projection(spark, sf_dir):
-    return V.text_conclusions(spark, sf_dir).select("id", schema.level_name(F.col("level")).alias("level"))
+    return V.text_conclusions(spark, sf_dir).select("id", level_name(F.col("level")).alias("level"))
 
 
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS session, o_orderkey AS id, 100 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq FROM orders""")

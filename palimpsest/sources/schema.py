@@ -1,8 +1,8 @@
-"""Schemas of the memory model. Nothing is inferred; JSON stays text beside its sidecar."""
+"""Schemas of the memory model. Nothing is inferred; JSON stays text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,9 +22,6 @@ DDL: dict[str, str] = {
     "idempotency": "workspace string, key_hash string, request_hash string, status int, body string, expires_at timestamp_ntz",
     "grants": "principal string, workspace string, role string",
 }
-#: Fixed names of conclusion levels, by number.
-LEVELS = ("explicit", "deductive", "inductive", "contradiction")
-
 
 def schema(relation: str) -> StructType:
     return StructType.fromDDL(DDL[relation])
@@ -45,12 +42,3 @@ def write(frame: DataFrame, root: str, relation: str, mode: str = "append") -> N
     names = schema(relation).fieldNames()
     writer = frame.select(*names).write.mode(mode)
     (writer.partitionBy("workspace") if "workspace" in names else writer).parquet(f"{root}/{relation}")
-
-
-def level_name(level) -> Column:
-    """The wire name of a level number."""
-    return F.element_at(F.array(*[F.lit(x) for x in LEVELS]), level + 1)
-
-
-def level_number(name) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in LEVELS]), name) - 1

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.plans.metadata import with_sidecar
-
 #: The clock of all time-dependent queries; never the wall clock.
 NOW = "2024-06-01 00:00:00"
 
@@ -25,9 +23,8 @@ MESSAGES = """messages AS (SELECT concat_ws('-', conv_id, turn + 1) AS id, CAST(
   coalesce(text, '') AS content, length(coalesce(text, '')) AS token_count FROM conversations)"""
 
 
-def event_messages(spark: SparkSession, sf_dir: str, sidecar: bool = False) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("session"), F.col("user_id").cast("string").alias("peer"), F.col("ts").alias("created_at"), F.round(F.col("value")).cast("int").alias("token_count"), F.col("props").alias("metadata"))
-    return with_sidecar(rows) if sidecar else rows
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("session"), F.col("user_id").cast("string").alias("peer"), F.col("ts").alias("created_at"), F.round(F.col("value")).cast("int").alias("token_count"), F.col("props").alias("metadata"))
 
 
 EVENT_MESSAGES = """event_messages AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS session, CAST(user_id AS VARCHAR) AS peer, ts AS created_at,

@@ -1,4 +1,5 @@
 import json
+import random
 from fractions import Fraction
 
 import pytest
@@ -6,9 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.functions.numbers import order_key
+from palimpsest.functions.numbers import order_key, order_key_of
 from palimpsest.plans.filters import FilterError, compile_filter
-from palimpsest.plans.metadata import with_sidecar
 
 NUMBERS = ["0", "-0", "0.0", "1", "1.0", "10e-1", "-1", "5", "5.5", "1e2", "100", "79228162514264337593543950336", "79228162514264337593543950337", "1" + "0" * 40, "1e400", "-1e400", "1e-400", "-1e-400", "0.1", "0.10", "123456789.123456789"]
 
@@ -40,6 +40,15 @@ def test_order_key_of_huge_exponents():
     assert order_key("-1e999999999999999999999") < order_key("-9e999999999999999999998")
 
 
+def test_order_keys_of_a_column(spark):
+    r = random.Random(6)
+    some = ["-" * r.randint(0, 1) + str(r.randint(0, 10 ** r.randint(0, 30))) + ("." + "0" * r.randint(0, 5) + str(r.randint(0, 10**9))) * r.randint(0, 1) + (r.choice("eE") + r.choice(["", "+", "-"]) + "0" * r.randint(0, 2) + str(r.randint(0, 10 ** r.randint(0, 25)))) * r.randint(0, 1) for _ in range(2000)]
+    texts = [*NUMBERS, "1e999999999999999999999", "9e999999999999999999998", "-1e-000", "00", *some]
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", order_key_of(F.col("x")).alias("k")).collect()
+    assert all(row["k"] == order_key(row["x"]) for row in got)
+    assert spark.range(1).select(order_key_of(F.lit("x1")).alias("k")).first()["k"] is None
+
+
 STRINGS = ["", "a", "a ", "A", "ab", "b", "5", "true", "null", "%", "_", "[a]", "'", "é", "￿", "\U0001f600", "x" * 4100]
 VALUES = [json.dumps(s) for s in STRINGS] + NUMBERS + ["true", "false", "null", '["a", 5, true]', '["A"]', "[]", '{"z": 1}', "{}"]
 
@@ -47,7 +56,7 @@ VALUES = [json.dumps(s) for s in STRINGS] + NUMBERS + ["true", "false", "null",
 @pytest.fixture(scope="module")
 def stored(spark):
     rows = [(i, '{"k": ' + v + "}") for i, v in enumerate(VALUES)] + [(len(VALUES), "{}"), (len(VALUES) + 1, None), (len(VALUES) + 2, '{"k.z": 1}')]
-    return with_sidecar(spark.createDataFrame(rows, "i int, metadata string")).cache()
+    return spark.createDataFrame(rows, "i int, metadata string").cache()
 
 
 def utf16(x):
@@ -185,3 +194,19 @@ def test_filters_reach_the_scan(spark, tmp_path):
     rows = spark.read.parquet(path).where(compile_filter('{"peer_id": "3", "token_count": {"gte": 2}}', "message")).select("peer")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(peer,3)" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_strings_and_keys_of_any_characters(spark):
+    """Quotes, backslashes, control characters and numbers inside strings, at several depths."""
+    odd = ['"', "\\", '\\"', "\\\\\"x\\", "\x01", "\x01 5", "5", "a\x01", '{"k": 1}', "[1]", "n\\n", "\n", "é\U0001f600", "-1e5", "true", 'x"y": 2, "z', "\\u0022", "/"]
+    rows = [(i, json.dumps({"a": {x: [x, 1, {"b": x}], "v": x}, x: x}, ensure_ascii=i % 2 == 0)) for i, x in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "i int, metadata string").cache()
+    columns = []
+    for i, x in enumerate(odd):
+        q = json.dumps(x)
+        columns += [compile_filter(f'{{"metadata": {body}}}', "message").alias(f"c{i}_{k}") for k, body in enumerate((f'{{"a": {{"v": {q}}}}}', f"{{{q}: {q}}}" if x else "{}", f'{{"a": {{{q}: [{q}, 1.0]}}}}', f'{{"a": {{"v": {{"contains": {q}}}}}}}', f'{{"a": {{"v": {{"gt": {q}}}}}}}'))]
+    got = frame.select("i", *columns).collect()
+    for i, x in enumerate(odd):
+        sets = [{r["i"] for r in got if r[f"c{i}_{k}"]} for k in range(5)]
+        assert sets[:3] == [{i}] * 3, x
+        assert sets[3] == {j for j, y in enumerate(odd) if x in y} and sets[4] == {j for j, y in enumerate(odd) if utf16(y) > utf16(x)}, x
