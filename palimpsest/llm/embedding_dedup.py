@@ -31,7 +31,8 @@ TARGET_RECALL = 0.995
 LEAST_SAMPLE, SAMPLE, TRIALS = 8_192, 32_768, 1_024
 #: Vectors to a cell, about, as long as a half has at most MOST_WORDS code words.
 PER_CELL, MOST_WORDS = 96, 8_192
-BLOCK = 2_048
+#: Held vectors of a group, about, and vectors that ask in one call.
+BLOCK, ASKING = 2_048, 16_384
 #: Numbers that one step of an index computes at once, about.
 _AT_ONCE = 1 << 21
 
@@ -97,8 +98,9 @@ class MultiIndex:
         # pairs of ranks in the two halves whose product is at most v hold the first v cells
         pairs = [(a, b) for a in range(min(self.words, self.visits)) for b in range(min(self.words, self.visits // (a + 1)))]
         self.ranks = np.array(pairs, dtype=np.int64).T
-        # second code words of a group, so that it has about BLOCK vectors
-        self.wide = max(1, min(self.words, round(self.words * self.words * BLOCK / max(1, many))))
+        # a first code word's cells are cut into parts of about BLOCK vectors
+        parts = max(1, round(many / (self.words * BLOCK)))
+        self.wide = -(-self.words // parts)
 
     def distances(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(rows[:, : self.cut], self.books[0]), squared(rows[:, self.cut :], self.books[1])
@@ -179,20 +181,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _met(rows: np.ndarray, home: np.ndarray, x: np.ndarray, q: np.ndarray, cells: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (asking row of q, held row of x) that reach the threshold, cell by cell. cells: those
     that each row of q visits."""
-    counts = [len(c) for c in cells]
-    asking, visited = np.repeat(q, counts), np.concatenate([np.zeros(0, dtype=np.int64), *cells])
+    asking, visited = np.repeat(q, [len(c) for c in cells]), np.concatenate(cells)
     order, held = np.argsort(visited, kind="stable"), x[np.argsort(home[x], kind="stable")]
-    asking, visited = asking[order], visited[order]
-    left, right = [], []
-    for cell in np.intersect1d(visited, home[held]):
-        i = asking[np.searchsorted(visited, cell) : np.searchsorted(visited, cell, side="right")]
-        j = held[np.searchsorted(home[held], cell) : np.searchsorted(home[held], cell, side="right")]
-        for part in _chunks(i, len(j)):
-            at = np.argwhere(rows[part] @ rows[j].T >= threshold)
-            left.append(part[at[:, 0]])
-            right.append(j[at[:, 1]])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    asking, visited, homes = asking[order], visited[order], home[held]
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    both = np.intersect1d(visited, homes)
+    ends = [np.searchsorted(a, both, side=side) for a in (visited, homes) for side in ("left", "right")]
+    for a, b, c, d in zip(*ends, strict=True):
+        j = held[c:d]
+        others = rows[j].T
+        for part in _chunks(asking[a:b], len(j)):
+            i, k = np.nonzero(rows[part] @ others >= threshold)
+            left.append(part[i])
+            right.append(j[k])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def _verify(dtype: str, threshold: float):
@@ -203,8 +205,9 @@ def _verify(dtype: str, threshold: float):
         if not len(held) or not len(asking):
             return pd.DataFrame({"cls": [], "links": [], "root": []}, dtype=np.int64)
         # an asking row has the cells of this group that it visits, a held row all that it visits
-        q, x = _met(rows, home, held, asking, [pdf["cells"].iloc[i] for i in asking], threshold)
-        path, place = np.stack([pdf["cells"].iloc[i] for i in held]), np.zeros(len(rows), dtype=np.int64)
+        cells = pdf["cells"].to_numpy()
+        q, x = _met(rows, home, held, asking, list(cells[asking]), threshold)
+        path, place = np.stack(list(cells[held])), np.zeros(len(rows), dtype=np.int64)
         place[held] = np.arange(len(held))
         # a pair that meets in both cells counts where the smaller class asks
         twice = np.concatenate([np.zeros(0, dtype=bool), *[(path[place[x[p]]] == home[q[p]][:, None]).any(axis=1) for p in _chunks(np.arange(len(q)), path.shape[1])]])
@@ -241,21 +244,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             for size in np.unique(sizes):
                 at, index = np.flatnonzero(sizes == size), sent.value.get(int(size), Flat())
                 way = index.traverse(unit(_rows([vec[i] for i in at], dtype)))
-                groups, goes = index.group(way), []
-                for cells, into in zip(way, groups, strict=True):
-                    order = np.argsort(into, kind="stable")
-                    cuts = np.flatnonzero(np.diff(into[order])) + 1
-                    goes.append([{"group": int(into[part[0]]), "cells": cells[part].tolist()} for part in np.split(order, cuts)])
+                groups, n, v = index.group(way), *way.shape
+                # each row's cells by group: runs of one group are an entry of the row's list
+                order = np.argsort(groups, axis=1, kind="stable")
+                into, cells = np.take_along_axis(groups, order, axis=1).ravel(), np.take_along_axis(way, order, axis=1).ravel()
+                first = np.arange(n * v) % v == 0
+                first[1:] |= into[1:] != into[:-1]
+                runs = np.flatnonzero(first)
+                lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+                entries = pa.StructArray.from_arrays([pa.array(into[runs]), lists(np.append(runs, n * v), pa.array(cells, pa.int32()))], ["group", "cells"])
+                goes = lists(np.append(np.searchsorted(runs, np.arange(n) * v), len(runs)), entries)
                 part = batch.take(pa.array(at))
-                kind = pa.list_(pa.struct([("group", pa.int64()), ("cells", pa.list_(pa.int32()))]))
-                more = [pa.array([size] * len(at), pa.int64()), pa.array(way[:, 0]), pa.array(groups[:, 0]), pa.array(way.tolist(), pa.list_(pa.int32())), pa.array(goes, kind)]
+                path = lists(np.arange(n + 1) * v, pa.array(way.ravel(), pa.int32()))
+                more = [pa.array(np.full(n, size)), pa.array(way[:, 0]), pa.array(groups[:, 0]), path, goes]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names)
 
     fields = "cls long, vec binary, mult long, bytes long, home long, own long, path array<int>, goes array<struct<group:long,cells:array<int>>>"
     there = materialize(classes.select("cls", "vec", "mult").mapInArrow(placed, fields), "placed")
-    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).cast("int")
-    held = there.groupBy("bytes", F.col("own").alias("group")).agg(blocks.alias("parts"))
-    asked = there.select("bytes", F.explode("goes.group").alias("group")).groupBy("bytes", "group").agg(blocks.alias("turns"))
+    blocks = lambda size: F.ceil(F.count(F.lit(1)) / size).cast("int")
+    # groups are about as large as a block; those up to twice as large aren't dealt out
+    held = there.groupBy("bytes", F.col("own").alias("group")).agg(blocks(2 * BLOCK).alias("parts"))
+    asked = there.select("bytes", F.explode("goes.group").alias("group")).groupBy("bytes", "group").agg(blocks(ASKING).alias("turns"))
     groups = materialize(held.join(asked, ["bytes", "group"]), "groups")
     block = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
