@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import re
 import struct
+import tempfile
 import uuid
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import content_hash
+from palimpsest.functions.text import is_richer as richer
 from palimpsest.operators import search
 
 MAX_DISTANCE = 0.05
-_WORD = re.compile(r"[^\W_]+")
+#: The words of functions.text.words().
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_OWN: dict[str, str] = {}
 _SCOPE = ["workspace", "observer", "observed", "session"]
 _OUTCOME = "workspace string, observer string, observed string, session string, position long, outcome string, id string, content string, embedding array<float>, source_ids array<string>"
 
@@ -53,6 +57,7 @@ def match_existing(facts: DataFrame, rows: DataFrame, most: float = MAX_DISTANCE
 
 
 def is_richer(new: str, old: str) -> bool:
+    """functions.text.is_richer() inside a task."""
     longer = len(new.encode("utf-16-le")) > len(old.encode("utf-16-le"))
     return longer and {x.upper() for x in _WORD.findall(old)} <= {x.upper() for x in _WORD.findall(new)}
 
@@ -67,14 +72,19 @@ def _same(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], most: float) ->
 
 
 def _held(frame: DataFrame) -> DataFrame:
-    """The same rows, computed once, in the folder that all executors share; without one, in a
-    local session, its only executor keeps them."""
-    folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+    """The same rows, computed once, in the folder that all executors share. A local session that
+    names none gets one of its own."""
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        return frame.localCheckpoint()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if spark.sparkContext.applicationId not in _OWN:
+            _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="palimpsest-fold-")
+        folder = _OWN[spark.sparkContext.applicationId]
     path = f"{folder}/palimpsest/fold-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -97,10 +107,9 @@ def _richest(matched: DataFrame) -> DataFrame:
     """corroborate or replace for each matched conclusion. Only texts that are richer than the
     conclusion's own can replace it, each of them once: whatever is the best then, is at least as
     rich as when the text first came."""
-    richer = F.pandas_udf(lambda a, b: pd.Series([is_richer(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
     keys = ["_scope", "match_id"]
     base = matched.groupBy(*keys, *_SCOPE).agg(F.min("position").alias("position"))
-    new = matched.where(richer("content", "match_content")).groupBy(*keys, F.sha2("content", 256).alias("_h")).agg(F.min_by(F.struct("position", "content", "embedding", "match_content"), "position").alias("x"))
+    new = matched.where(richer(F.col("content"), F.col("match_content"))).groupBy(*keys, F.sha2("content", 256).alias("_h")).agg(F.min_by(F.struct("position", "content", "embedding", "match_content"), "position").alias("x"))
 
     def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         best = None

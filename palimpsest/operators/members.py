@@ -80,18 +80,51 @@ def unseen_requests(requests: DataFrame, records: DataFrame, now: str) -> DataFr
     return fresh.join(alive, keys, "left_anti")
 
 
-def missing_grants(grants: DataFrame, asked: DataFrame) -> DataFrame:
-    """Grants to add: asked ones that aren't there (a null workspace is equal to itself)."""
-    keys = ["principal", "workspace", "role"]
-    have = grants.select(*[F.col(k).alias(f"_{k}") for k in keys])
+def appended(members: DataFrame, said: DataFrame, now: str) -> DataFrame:
+    """Members (see add_peers()) after messages (workspace, session, peer) were appended: senders
+    join, and those that are active keep what they have."""
+    asked = said.select("workspace", "session", "peer").distinct()
+    none = F.lit(None).cast("boolean")
+    return add_peers(members, asked.select("*", none.alias("observe_me"), none.alias("observe_others")), now)
+
+
+def configuration(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """What active members among ``asked`` (workspace, session, peer) have set; others aren't there."""
+    keys = ["workspace", "session", "peer"]
+    return members.where("left_at IS NULL").join(asked.select(*keys).distinct(), keys, "left_semi").select(*keys, "observe_me", "observe_others")
+
+
+def configure(members: DataFrame, asked: DataFrame) -> DataFrame:
+    """Members after active ones among ``asked`` (workspace, session, peer, observe_me,
+    observe_others) got what is asked for, where it isn't null."""
+    keys = ["workspace", "session", "peer"]
+    new = asked.dropDuplicates(keys).select(*keys, F.col("observe_me").alias("_me"), F.col("observe_others").alias("_others"))
+    active = F.col("left_at").isNull()
+    pick = lambda old, to: F.when(active, F.coalesce(to, old)).otherwise(F.col(old))
+    both = members.join(new, keys, "left")
+    return both.withColumn("observe_me", pick("observe_me", "_me")).withColumn("observe_others", pick("observe_others", "_others")).select(*members.columns)
+
+
+_GRANT = ["principal", "workspace", "role"]
+
+
+def _granted(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """A join of grants in which a null workspace is equal to itself."""
+    have = b.select(*[F.col(k).alias(f"_{k}") for k in _GRANT])
     same = F.col("principal").eqNullSafe(F.col("_principal")) & F.col("workspace").eqNullSafe(F.col("_workspace")) & F.col("role").eqNullSafe(F.col("_role"))
-    return asked.select(*keys).distinct().join(have, same, "left_anti")
+    return a.select(*_GRANT).join(have, same, how)
+
+
+def missing_grants(grants: DataFrame, asked: DataFrame) -> DataFrame:
+    """Grants to add: asked ones that aren't there."""
+    return _granted(asked.distinct(), grants, "left_anti")
+
+
+def without_grants(grants: DataFrame, gone: DataFrame) -> DataFrame:
+    """The grants but those in ``gone``, which need not be there."""
+    return _granted(grants, gone, "left_anti")
 
 
-def save_embeddings(rows: DataFrame, made: DataFrame) -> DataFrame:
-    """Vectors (id, content, vector) are taken over by conclusions that still wait for one
-    (embedding_state 0) and still have that content."""
-    new = made.select("id", F.col("content").alias("_content"), F.col("vector").alias("_vector"))
-    both = rows.join(new, "id", "left")
-    fits = F.coalesce((F.col("embedding_state") == 0) & (F.col("content") == F.col("_content")) & F.col("deleted_at").isNull(), F.lit(False))
-    return both.withColumn("embedding", F.when(fits, F.col("_vector")).otherwise(F.col("embedding"))).withColumn("embedding_state", F.when(fits, 1).otherwise(F.col("embedding_state"))).drop("_content", "_vector")
+def grants_of(grants: DataFrame, principal: str) -> DataFrame:
+    """A principal's grants, each once, in order; the one for all workspaces comes first."""
+    return grants.where(F.col("principal") == principal).select(*_GRANT).distinct().orderBy(F.asc_nulls_first("workspace"), "role")

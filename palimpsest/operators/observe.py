@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.keys import work_unit_key
+
 
 def observers(messages: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """For each message (id, keys, peer, created_at) its observers, sorted: the sender, and every
@@ -25,10 +27,13 @@ def observers(messages: DataFrame, members: DataFrame, keys: list[str]) -> DataF
     return gathered.where("_ok").select("id", everyone.alias("observers"))
 
 
-def enqueue(messages: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    """A work item for every message that somebody observes: unit, payload (JSON) and tokens."""
+def enqueue(messages: DataFrame, members: DataFrame, keys: list[str], workspace: Column, session: str) -> DataFrame:
+    """A work item for every message that somebody observes: its id, the key of its unit, the
+    payload (JSON: the observers, and the message's own reasoning_enabled and custom_instructions
+    where it has such columns and they are set), and tokens. ``keys`` tell sessions apart, of which
+    ``session`` is the name."""
     seen = observers(messages, members, keys)
     rows = messages.join(seen, "id")
-    unit = F.concat_ws(":", F.lit("representation"), *keys, "peer")
-    payload = F.to_json(F.struct(F.col("id").alias("message_id"), F.col("observers")))
-    return rows.select("id", unit.alias("unit"), payload.alias("payload"), F.size("observers").alias("n_observers"), "token_count")
+    own = [F.col(c) for c in ("reasoning_enabled", "custom_instructions") if c in messages.columns]
+    unit = work_unit_key(workspace, F.col(session).cast("string"), F.col("peer"))
+    return rows.select("id", unit.alias("unit"), F.to_json(F.struct("observers", *own)).alias("payload"), F.size("observers").alias("n_observers"), "token_count")

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import bullet
 
 
-def visible(rows: DataFrame, sessions: list[str] | None) -> DataFrame:
+def visible(rows: DataFrame, sessions: list[str] | None, scopes: list[str] | None = None) -> DataFrame:
     """With an allowlist of sessions only explicit conclusions of those are seen; an empty list
-    shows none. To be applied before anything is counted or ranked."""
+    shows none. To be applied before anything is counted or ranked. Scopes aren't supported: any
+    list of them, an empty one too, is a ValueError."""
+    if scopes is not None:
+        raise ValueError("scopes aren't supported")
     if sessions is None:
         return rows
     return rows.where(F.col("session").isin(list(sessions)) & (F.col("level") == 0)) if sessions else rows.where(F.lit(False))
 
 
-def live(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("deleted_at").isNull())
-
-
 def allowed_workspaces(grants: DataFrame) -> DataFrame:
     """For each principal: whether all workspaces are granted, else which. Other roles don't count."""
     mine = grants.where(F.col("role") == "workspace")

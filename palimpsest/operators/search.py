@@ -14,15 +14,23 @@ TILE = 4096
 SLACK = 1e-9
 
 
-def knn(rows: DataFrame, query: list[float], k: int, most: float | None = None, ties: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The k rows nearest to a vector by cosine, with their distance; ties by further keys. Filter
-    rows before. Each task keeps k rows, so one pass and no shuffle of vectors."""
+def knn(rows: DataFrame, query: list[float], k: int, most: float | None = None, ties: tuple[str, ...] | None = None) -> DataFrame:
+    """The k rows nearest to a vector by cosine, with their distance; ties by further keys:
+    created_at, where rows have it, and id. Filter rows before. Each task keeps k rows, so one pass and no shuffle of vectors."""
     if not 1 <= k <= 100:
         raise ValueError("k is 1 to 100")
+    ties = tuple(c for c in ("created_at", "id") if c in rows.columns) if ties is None else ties
     near = rows.where(F.col("embedding").isNotNull()).withColumn("distance", cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])))
     return (near if most is None else near.where(F.col("distance") <= most)).orderBy("distance", *ties).limit(k)
 
 
+def search(rows: DataFrame, query: list[float], top_k: int = 10, distance: float | None = None) -> DataFrame:
+    """knn() as callers ask for it: ten rows if they don't say how many, a distance of 0 to 1."""
+    if distance is not None and not 0 <= distance <= 1:
+        raise ValueError("distance is 0 to 1")
+    return knn(rows, query, top_k, distance)
+
+
 def _tiles(rows: DataFrame, key: str, block: list[str]) -> DataFrame:
     """One row for each tile of a block's vectors: (block, tile, tiles, keys, vectors); vectors with
     null components are left out, those of another length are another block. Tiles have about
@@ -47,11 +55,13 @@ def _unit(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
     return keys, np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms != 0)
 
 
-def nearest(probes: DataFrame, rows: DataFrame, block: list[str], most: float, key: str = "id") -> DataFrame:
+def nearest(probes: DataFrame, rows: DataFrame, block: list[str], most: float, key: str = "id", apart: bool = False) -> DataFrame:
     """For each probe (probe, block columns, embedding) the nearest row of its block within
     ``most``, ties by key: (probe, key, distance). All pairs are compared, a tile of probes with a
-    tile of rows at a time; those that can be a probe's nearest are measured exactly."""
-    once = rows.where(F.col("embedding").isNotNull()).groupBy(*block, "embedding").agg(F.min(key).alias(key))
+    tile of rows at a time; those that can be a probe's nearest are measured exactly. ``apart``:
+    probes are rows themselves, and a row with the probe's key isn't meant."""
+    once = rows.where(F.col("embedding").isNotNull())
+    once = once.select(*block, key, "embedding") if apart else once.groupBy(*block, "embedding").agg(F.min(key).alias(key))
     left, right = _tiles(probes, "probe", block), _tiles(once, key, block)
     n_left, n_right = left.select("block", F.col("tiles").alias("n")).distinct(), right.select("block", F.col("tiles").alias("n")).distinct()
     a = left.join(n_right, "block").select("block", F.col("tile").alias("l"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("r"), "keys", "vectors")
@@ -64,6 +74,8 @@ def nearest(probes: DataFrame, rows: DataFrame, block: list[str], most: float, k
             (ids, u), (others, v) = _unit(one), _unit(other)
             for i in range(0, len(ids), 512):
                 distance = 1 - u[i : i + 512] @ v.T
+                if apart:
+                    distance[np.array(ids[i : i + 512], dtype=object)[:, None] == np.array(others, dtype=object)] = np.inf
                 near = distance <= np.minimum(most, np.nanmin(np.where(np.isnan(distance), np.inf, distance), axis=1))[:, None] + SLACK
                 found += [(ids[i + x], others[y]) for x, y in np.argwhere(near)]
         return pd.DataFrame(found, columns=["probe", "_key"], dtype=object)

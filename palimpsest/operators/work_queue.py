@@ -36,8 +36,16 @@ def claimable(items: DataFrame, now: str) -> DataFrame:
     return rows.where("_blocked IS NULL OR id < _blocked").drop("_blocked")
 
 
-def due_units(items: DataFrame, leases: DataFrame, now: str, tokens: int = TOKENS, age: int = MAX_AGE_MINUTES) -> DataFrame:
-    """Units that may be acquired, with the first item, the tokens and the age of the claimable ones."""
+def due_units(items: DataFrame, leases: DataFrame, now: str, tokens: int = TOKENS, age: int = MAX_AGE_MINUTES, policies: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Units that may be acquired, with the first item, the tokens and the age of the claimable
+    ones. ``policies``: tokens and minutes by task_type; items of other types are left out, and a
+    unit goes by the type of its first item."""
+    if policies is not None:
+        table = items.sparkSession.createDataFrame([(k, *v) for k, v in policies.items()], "task_type int, _tokens long, _age int")
+        mine = claimable(items.join(F.broadcast(table.select("task_type")), "task_type", "left_semi"), now).join(taken(leases, now), "unit", "left_anti")
+        units = mine.groupBy("unit").agg(F.min("id").alias("first_id"), F.min_by("task_type", "id").alias("task_type"), F.count(F.lit(1)).alias("n_items"), F.sum("token_count").alias("tokens"), F.min("created_at").alias("oldest"))
+        units = units.join(F.broadcast(table), "task_type")
+        return units.where((F.col("tokens") >= F.col("_tokens")) | (F.timestamp_add("MINUTE", F.col("_age"), F.col("oldest")) <= at(now))).drop("_tokens", "_age")
     units = claimable(items, now).join(taken(leases, now), "unit", "left_anti").groupBy("unit").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_items"), F.sum("token_count").alias("tokens"), F.min("created_at").alias("oldest"))
     return units.where((F.col("tokens") >= tokens) | (F.timestamp_add("MINUTE", F.lit(age), F.col("oldest")) <= at(now)))
 
@@ -87,9 +95,14 @@ def renewed(leases: DataFrame, owner: str, now: str, minutes: int = 5) -> DataFr
     return leases.withColumn("expires_at", F.when(mine, F.timestamp_add("MINUTE", F.lit(minutes), at(now))).otherwise(F.col("expires_at")))
 
 
-def status(items: DataFrame, leases: DataFrame, now: str, session: str | None = None) -> DataFrame:
-    """Counts by session, and a row with a null session for all items."""
-    rows = items if session is None else items.where(F.col("session") == session)
+def status(items: DataFrame, leases: DataFrame, now: str, session: str | None = None, sender: str | None = None, observer: str | None = None, workspace: str | None = None) -> DataFrame:
+    """Counts by session, and a row with a null session for all items. Of all items those are
+    counted that are of the given workspace, session and sender (column peer) and that the given
+    observer is among the ``observers`` of."""
+    rows = items
+    for name, value in (("session", session), ("peer", sender), ("workspace", workspace)):
+        rows = rows if value is None else rows.where(F.col(name) == value)
+    rows = rows if observer is None else rows.where(F.array_contains("observers", observer))
     rows = rows.join(taken(leases, now).withColumn("_taken", F.lit(True)), "unit", "left")
     busy = is_open() & F.col("_taken").isNotNull()
     counts = [F.count_if(F.col("status") == 2).alias("completed"), F.count_if(F.col("status") == 3).alias("dead_lettered"), F.count_if(busy).alias("in_progress"), F.count_if(is_open() & F.col("_taken").isNull()).alias("pending")]
@@ -113,3 +126,12 @@ def pruned(items: DataFrame, now: str, days: int = 7) -> DataFrame:
     """Without items that succeeded ``days`` ago or before."""
     old = (F.col("status") == 2) & (F.timestamp_add("DAY", F.lit(days), F.col("completed_at")) <= at(now))
     return items.where(~F.coalesce(old, F.lit(False)))
+
+
+def named_items(items: DataFrame, workspaces: DataFrame, sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Items (workspace_id, session_id, message_id, ...) with the names that they refer to, null
+    where that is gone: workspaces and sessions (id, name), messages (id, public_id)."""
+    named = items
+    for key, frame, column, name in (("workspace_id", workspaces, "name", "workspace"), ("session_id", sessions, "name", "session"), ("message_id", messages, "public_id", "message")):
+        named = named.join(frame.select(F.col("id").alias(key), F.col(column).alias(name)), key, "left")
+    return named

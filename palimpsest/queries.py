@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +12,12 @@ from palimpsest.functions.vectors import embed
 from palimpsest.operators import dedup, members, observe, paging, represent, search, transcript
 from palimpsest.operators import work_queue as Q
 from palimpsest.plans.filters import compile_filter
+from palimpsest.registry import QUERIES, SQL, query
 from palimpsest.sources import log, views as V
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 NOW = f"TIMESTAMP '{V.NOW}'"
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
 def _filtered(name: str, request: str, where: str, resource: str = "message", view: str = "messages", columns: str = "id") -> None:
     """A filter over one of the message views, beside the condition that it means."""
 
@@ -137,11 +122,9 @@ SELECT probe, arg_min(id, (distance, id)) AS id, round(min(distance), 6) AS dist
 def nearest_per_probe(spark, sf_dir):
     """For every twentieth vector the nearest other one of its collection, within 0.8."""
     rows = V.vector_conclusions(spark, sf_dir)
-    probes = rows.where("id % 20 = 0").select(F.col("id").alias("probe"), "collection", F.col("embedding").alias("_e"))
-    pairs = probes.withColumnRenamed("collection", "_c").join(rows, (F.col("_c") == F.col("collection")) & (F.col("probe") != F.col("id")))
-    distance = F.round(search.cosine_distance(F.col("_e"), F.col("embedding")), 9)
-    best = pairs.withColumn("distance", distance).where("distance <= 0.8").groupBy("probe").agg(F.min(F.struct("distance", "id")).alias("x"))
-    return best.select("probe", "x.id", F.round("x.distance", 6).alias("distance"))
+    probes = rows.where("id % 20 = 0").select(F.col("id").alias("probe"), "collection", "embedding")
+    best = search.nearest(probes, rows, ["collection"], 0.8, apart=True)
+    return best.select("probe", "id", F.round("distance", 6).alias("distance"))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) + 0.0, 6) AS distance
@@ -156,10 +139,10 @@ def exact_duplicate_groups(spark, sf_dir):
     return dedup.duplicate_groups(V.text_conclusions(spark, sf_dir), ["session"]).select("session", "oldest", "n")
 
 
-@query(f"WITH {V.TEXT_CONCLUSIONS} SELECT f.id AS fact_id, min(c.id) AS id FROM text_conclusions f JOIN text_conclusions c ON f.content = c.content AND f.session IS NOT DISTINCT FROM c.session WHERE f.id % 2 = 1 GROUP BY f.id")
+@query(f"WITH {V.TEXT_CONCLUSIONS}, oldest AS (SELECT collection, session, content, min(id) AS id FROM text_conclusions GROUP BY ALL) SELECT f.id AS fact_id, min(o.id) AS id FROM text_conclusions f JOIN oldest o ON f.content = o.content AND f.session IS NOT DISTINCT FROM o.session AND f.collection IS NOT DISTINCT FROM o.collection GROUP BY f.id")
 def exact_match_oldest(spark, sf_dir):
     rows = V.text_conclusions(spark, sf_dir)
-    return dedup.exact_matches(rows.where("id % 2 = 1").withColumnRenamed("id", "fact_id"), rows, ["session"])
+    return dedup.exact_matches(rows.withColumnRenamed("id", "fact_id"), rows, ["collection", "session"])
 
 
 @query(f"WITH {V.TEXT_CONCLUSIONS}, oldest AS (SELECT session, content, min(id) AS id FROM text_conclusions GROUP BY session, content) SELECT f.id AS fact_id, min(o.id) AS id FROM text_conclusions f JOIN oldest o ON f.content = o.content AND f.session IS NOT DISTINCT FROM o.session GROUP BY f.id")
@@ -168,30 +151,6 @@ def exact_match_oldest_all(spark, sf_dir):
     return dedup.exact_matches(rows.withColumnRenamed("id", "fact_id"), rows, ["session"])
 
 
-_OBSERVERS = f"""WITH {V.EVENT_MESSAGES}, {V.MEMBERSHIPS}, clicks AS (SELECT id, peer, created_at, token_count FROM event_messages WHERE session = 'purchase' AND CAST(id AS BIGINT) % 50 = 0),
-seen AS (SELECT c.id, m.peer FROM clicks c JOIN memberships m ON m.joined_at <= c.created_at AND (m.left_at IS NULL OR c.created_at < m.left_at) UNION SELECT id, peer FROM clicks),
-listed AS (SELECT id, list_sort(list(DISTINCT peer)) AS observers FROM seen GROUP BY id)"""
-
-
-def _observed(spark, sf_dir):
-    """Every fiftieth purchase, as a message to one session that all members of the event log share."""
-    rows = V.event_messages(spark, sf_dir).where("session = 'purchase' AND id % 50 = 0").withColumn("room", F.lit("all"))
-    people = V.memberships(spark, sf_dir).withColumn("room", F.lit("all")).withColumn("observe_others", F.lit(True))
-    return rows, people
-
-
-@query(f"{_OBSERVERS} SELECT id, len(observers) AS n_observers, array_to_string(observers, ',') AS observers FROM listed")
-def observer_interval_join(spark, sf_dir):
-    rows, people = _observed(spark, sf_dir)
-    return observe.observers(rows, people, ["room"]).select("id", F.size("observers").alias("n_observers"), F.array_join("observers", ",").alias("observers"))
-
-
-@query(f"{_OBSERVERS} SELECT c.id, 'representation:all:' || c.peer AS unit, '{{\"message_id\":\"' || c.id || '\",\"observers\":[\"' || array_to_string(observers, '\",\"') || '\"]}}' AS payload, len(observers) AS n_observers, token_count FROM clicks c JOIN listed USING (id)")
-def enqueue_work(spark, sf_dir):
-    rows, people = _observed(spark, sf_dir)
-    return observe.enqueue(rows, people, ["room"])
-
-
 _ROOM = 16
 _ROOMS = f"""WITH {V.EVENT_MESSAGES}, {V.MEMBERSHIPS}, said AS (SELECT id, peer, CAST(peer AS BIGINT) // {_ROOM} AS room, created_at, token_count FROM event_messages),
 seen AS (SELECT s.id, m.peer FROM said s JOIN memberships m ON s.room = CAST(m.peer AS BIGINT) // {_ROOM} AND m.joined_at <= s.created_at AND (m.left_at IS NULL OR s.created_at < m.left_at) UNION SELECT id, peer FROM said),
@@ -210,10 +169,44 @@ def observer_interval_join_rooms(spark, sf_dir):
     return observe.observers(rows, people, ["room"]).select("id", F.size("observers").alias("n_observers"), F.array_join("observers", ",").alias("observers"))
 
 
-@query(f"{_ROOMS} SELECT s.id, 'representation:' || s.room || ':' || s.peer AS unit, '{{\"message_id\":\"' || s.id || '\",\"observers\":[\"' || array_to_string(observers, '\",\"') || '\"]}}' AS payload, len(observers) AS n_observers, token_count FROM said s JOIN listed USING (id)")
+_PAYLOAD = """'{"observers":["' || array_to_string(observers, '","') || '"]' || CASE WHEN token_count % 3 = 0 THEN ',"reasoning_enabled":true' WHEN token_count % 3 = 1 THEN ',"reasoning_enabled":false' ELSE '' END || CASE WHEN token_count % 5 = 0 THEN ',"custom_instructions":"in \\"short\\""' ELSE '' END || '}'"""
+
+
+def _reasoned(rows):
+    """Messages with settings of their own, some of them unset."""
+    rest = F.col("token_count") % 3
+    return rows.withColumn("reasoning_enabled", F.when(rest == 0, True).when(rest == 1, False)).withColumn("custom_instructions", F.when(F.col("token_count") % 5 == 0, 'in "short"'))
+
+
+@query(f"{_ROOMS} SELECT s.id, 'representation:w:' || s.room || ':' || s.peer AS unit, {_PAYLOAD} AS payload, len(observers) AS n_observers, token_count FROM said s JOIN listed USING (id)")
 def enqueue_work_rooms(spark, sf_dir):
     rows, people = _rooms(spark, sf_dir)
-    return observe.enqueue(rows, people, ["room"])
+    return observe.enqueue(_reasoned(rows), people, ["room"], F.lit("w"), "room")
+
+
+_TYPED = f"""WITH {V.EVENT_MESSAGES}, {V.MEMBERSHIPS}, said AS (SELECT id, peer, session, CAST(peer AS BIGINT) // {_ROOM} AS room, created_at, token_count FROM event_messages),
+ins AS (SELECT peer, CAST(peer AS BIGINT) // {_ROOM} AS room, joined_at, left_at, unnest(['purchase', 'click', 'view']) AS session FROM memberships),
+seen AS (SELECT s.id, m.peer FROM said s JOIN ins m ON s.session = m.session AND s.room = m.room AND m.joined_at <= s.created_at AND (m.left_at IS NULL OR s.created_at < m.left_at) UNION SELECT id, peer FROM said),
+listed AS (SELECT id, list_sort(list(DISTINCT peer)) AS observers FROM seen GROUP BY id)"""
+
+
+def _typed(spark, sf_dir):
+    """Every event, as a message to the session of its type in its user's room; members are in the
+    sessions of three types, so that messages of the others are seen by their senders alone."""
+    rows, people = _rooms(spark, sf_dir)
+    return rows, people.withColumn("session", F.explode(F.array(*[F.lit(x) for x in ("purchase", "click", "view")])))
+
+
+@query(f"{_TYPED} SELECT id, len(observers) AS n_observers, array_to_string(observers, ',') AS observers FROM listed")
+def observer_interval_join(spark, sf_dir):
+    rows, people = _typed(spark, sf_dir)
+    return observe.observers(rows, people, ["session", "room"]).select("id", F.size("observers").alias("n_observers"), F.array_join("observers", ",").alias("observers"))
+
+
+@query(f"{_TYPED} SELECT s.id, 'representation:~21c69770074226839a64b983330c41ca:' || s.session || ':' || s.peer AS unit, {_PAYLOAD} AS payload, len(observers) AS n_observers, token_count FROM said s JOIN listed USING (id)")
+def enqueue_work(spark, sf_dir):
+    rows, people = _typed(spark, sf_dir)
+    return observe.enqueue(_reasoned(rows), people, ["session", "room"], F.lit("w w"), "session")
 
 
 _WORK = f"WITH {V.WORK_ITEMS}, {V.LEASES}"
@@ -348,16 +341,13 @@ def idempotent_requests(spark, sf_dir):
     return members.unseen_requests(rows, records, V.NOW).select("key_hash", "position")
 
 
-@query("SELECT c_custkey AS id, 'representation:w:' || c_name || ':~' || left(sha256(c_mktsegment || ' !'), 32) AS unit FROM customer")
+@query("""SELECT c_custkey AS id, 'representation:w:' || replace(c_name, '#', '-') || ':~' || left(sha256(regexp_replace(c_mktsegment || ' !', '(.)', '\\1' || chr(0), 'g')), 32) AS unit FROM customer""")
 def work_unit_keys(spark, sf_dir):
     rows = V.table(spark, sf_dir, "customer")
     name = F.regexp_replace("c_name", "#", "-")
     return rows.select(F.col("c_custkey").alias("id"), K.work_unit_key(F.lit("w"), name, F.concat("c_mktsegment", F.lit(" !"))).alias("unit"))
 
 
-SQL["work_unit_keys"] = SQL["work_unit_keys"].replace("c_name", "replace(c_name, '#', '-')")
-
-
 @query(f"WITH {V.MESSAGES} SELECT id, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS content FROM messages")
 def collapse_text(spark, sf_dir):
     return V.messages(spark, sf_dir).select("id", X.collapse(F.col("content")).alias("content"))
@@ -371,16 +361,15 @@ def config_resolution(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select(key.alias("id"), K.resolve(*layers).alias("x")).select("id", F.col("x.value").cast("bigint").alias("value"), "x.source")
 
 
-@query(f"""{_OBSERVERS}, facts AS (SELECT a.id AS fact_id, a.id AS s1, b.id AS s2 FROM clicks a JOIN clicks b ON CAST(b.id AS BIGINT) = CAST(a.id AS BIGINT) + 50),
+@query(f"""{_TYPED}, facts AS (SELECT id AS fact_id, id AS s1, lead(id) OVER (PARTITION BY session, room ORDER BY CAST(id AS BIGINT)) AS s2 FROM said),
 u AS (SELECT id, unnest(observers) AS observer FROM listed)
 SELECT fact_id, x.observer FROM facts JOIN u x ON x.id = s1 JOIN u y ON y.id = s2 AND x.observer = y.observer""")
 def fact_routing(spark, sf_dir):
-    rows, people = _observed(spark, sf_dir)
-    seen = observe.observers(rows, people, ["room"])
-    ids = rows.select(F.col("id").alias("fact_id"))
-    after = rows.select(F.col("id").alias("next"))
-    facts = ids.join(after, F.col("next").cast("bigint") == F.col("fact_id").cast("bigint") + 50).select("fact_id", F.array("fact_id", "next").alias("source_ids"))
-    return transcript.route_facts(facts, seen)
+    """A fact for each message and the next one in its session and room."""
+    rows, people = _typed(spark, sf_dir)
+    after = F.lead("id").over(Window.partitionBy("session", "room").orderBy(F.col("id").cast("bigint")))
+    facts = rows.select(F.col("id").alias("fact_id"), after.alias("next")).where("next IS NOT NULL").select("fact_id", F.array("fact_id", "next").alias("source_ids"))
+    return transcript.route_facts(facts, observe.observers(rows, people, ["session", "room"]))
 
 
 @query(f"""{_ROOMS}, facts AS (SELECT id AS fact_id, id AS s1, lead(id) OVER (PARTITION BY room ORDER BY CAST(id AS BIGINT)) AS s2 FROM said),
@@ -402,3 +391,6 @@ def dedup_fold(spark, sf_dir):
     facts = rows.where("id % 2 = 1").select(F.col("id").alias("fact_id"), *dedup._SCOPE, "content", "embedding", F.col("id").cast("bigint").alias("position"), F.array("id").alias("source_ids"))
     matched = dedup.match_existing(facts, rows.where("id % 2 = 0"))
     return dedup.fold(matched).select("observer", "session", "position", "outcome", "id", F.size("source_ids").alias("n_sources"))
+
+
+from palimpsest import store_queries as _more  # noqa: E402, F401  registers its own

@@ -15,7 +15,7 @@ DDL: dict[str, str] = {
     "session_peers": "workspace string, session string, peer string, observe_me boolean, observe_others boolean, joined_at timestamp_ntz, left_at timestamp_ntz",
     "messages": "workspace string, session string, seq bigint, id string, peer string, content string, token_count int, metadata string, created_at timestamp_ntz",
     "collections": "workspace string, observer string, observed string, new_explicit_count bigint, last_activity_at timestamp_ntz, last_dream_at timestamp_ntz",
-    "conclusions": "workspace string, id string, observer string, observed string, session string, level tinyint, content string, content_hash string, embedding array<float>, embedding_state tinyint, times_derived int, source_ids array<string>, created_at timestamp_ntz, deleted_at timestamp_ntz",
+    "conclusions": "workspace string, id string, observer string, observed string, session string, level tinyint, content string, content_hash string, embedding array<float>, embedding_state tinyint, embedding_model string, times_derived int, source_ids array<string>, created_at timestamp_ntz, deleted_at timestamp_ntz",
     "peer_cards": "workspace string, observer string, observed string, entries array<string>, updated_at timestamp_ntz, updated_by string",
     "work_items": "id bigint, workspace string, session string, peer string, task_type tinyint, unit string, payload string, status tinyint, attempts int, available_at timestamp_ntz, token_count int, error string, created_at timestamp_ntz, completed_at timestamp_ntz",
     "leases": "unit string, owner string, token bigint, expires_at timestamp_ntz",

@@ -56,7 +56,7 @@ ORDER_MEMBERS = "order_members AS (SELECT CAST(l_orderkey AS VARCHAR) AS session
 
 
 def vector_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("collection"), "embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("collection"), "embedding", F.floor(F.col("vec_id") / 10).alias("created_at"))
 
 
 def text_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,3 +93,36 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEASES = f"""leases AS (SELECT DISTINCT unit, 'worker' AS owner, CAST(session AS BIGINT) AS token, TIMESTAMP '{NOW}' + to_minutes(CAST(session AS BIGINT) % 3 - 1) AS expires_at
   FROM work_items WHERE CAST(session AS BIGINT) % 5 = 0)"""
+
+
+def conclusion_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """conclusions (id, workspace, collection_id, session_id, level, content, embedding_state,
+    created_at, deleted_at), collections, peers, sessions. Ids of names are hashes of them, every
+    thirteenth conclusion is deleted, every third has its vector, and sources are observed by
+    ``me``, which is internal."""
+    rows = table(spark, sf_dir, "documents")
+    key = lambda c: F.sha2(c, 256)
+    names = rows.select(F.col("source").alias("name")).where("name IS NOT NULL").distinct()
+    peers = names.unionByName(spark.createDataFrame([("me",)], "name string")).select(key(F.col("name")).alias("id"), "name", (F.col("name") == "me").alias("is_internal"))
+    collections = names.select(key(F.concat(F.lit("me>"), "name")).alias("id"), key(F.lit("me")).alias("observer_id"), key(F.col("name")).alias("observed_id"))
+    sessions = rows.select(F.col("lang").alias("name")).where("name IS NOT NULL").distinct().select(key(F.col("name")).alias("id"), "name")
+    day = F.to_timestamp_ntz(F.lit("2024-05-31 00:00:00"))
+    gone = F.when(F.col("doc_id") % 13 == 0, F.timestamp_add("HOUR", (F.col("doc_id") % 48 - 24).cast("int"), day))
+    conclusions = rows.select(
+        F.col("doc_id").alias("id"), F.lit("w").alias("workspace"), key(F.concat(F.lit("me>"), "source")).alias("collection_id"), key(F.col("lang")).alias("session_id"), F.pmod("doc_id", F.lit(3)).cast("tinyint").alias("level"),
+        F.coalesce("text", F.lit("")).alias("content"), F.when(F.col("doc_id") % 3 == 1, 1).otherwise(0).alias("embedding_state"), F.timestamp_add("SECOND", (-F.col("doc_id") * 7 % 1000).cast("int"), day).alias("created_at"), gone.alias("deleted_at"),
+    )
+    return {"conclusions": conclusions, "collections": collections, "peers": peers, "sessions": sessions}
+
+
+CONCLUSIONS = """conclusions AS (SELECT doc_id AS id, 'w' AS workspace, source, lang, CAST(doc_id % 3 AS TINYINT) AS level, coalesce(text, '') AS content, CASE WHEN doc_id % 3 = 1 THEN 1 ELSE 0 END AS embedding_state,
+  TIMESTAMP '2024-05-31' + to_seconds(-doc_id * 7 % 1000) AS created_at, CASE WHEN doc_id % 13 = 0 THEN TIMESTAMP '2024-05-31' + to_hours(doc_id % 48 - 24) END AS deleted_at FROM documents)"""
+
+
+def timed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages() with a time: a minute for each number, an hour for each session."""
+    at = F.timestamp_add("MINUTE", (F.col("session").cast("bigint") % 500 * 60 + F.col("seq")).cast("int"), F.to_timestamp_ntz(F.lit("2024-05-01 00:00:00")))
+    return messages(spark, sf_dir).withColumn("created_at", at)
+
+
+TIMED_MESSAGES = f"""{MESSAGES}, timed AS (SELECT *, TIMESTAMP '2024-05-01' + to_minutes(CAST(session AS BIGINT) % 500 * 60 + seq) AS created_at FROM messages)"""

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators.work_queue import BATCH_ITEMS, BATCH_TOKENS, MAX_AGE_MINUTES, TOKENS
 
 _OUT = "unit string, batch long, ids array<long>, tokens long, reason string"
-_STATE = "batch long, ids array<long>, tokens array<long>"
+_STATE = "batch long, ids array<long>, tokens array<long>, since long"
 
 
 def cut(tokens: list[int], target: int = BATCH_TOKENS, most: int = BATCH_ITEMS) -> int:
@@ -27,27 +28,47 @@ def cut(tokens: list[int], target: int = BATCH_TOKENS, most: int = BATCH_ITEMS)
     return n
 
 
-def batches(items: DataFrame, tokens: int = TOKENS, minutes: int = MAX_AGE_MINUTES) -> DataFrame:
+def batches(items: DataFrame, tokens: int = TOKENS, minutes: float = MAX_AGE_MINUTES) -> DataFrame:
     """Batches of a stream of items (unit, id, token_count): (unit, batch, ids, tokens, reason).
-    Items are taken by id as they arrive in a micro-batch; reason is ``tokens`` or ``age``. A unit
-    keeps less than ``tokens`` tokens in its state, so states stay small."""
+    Items are taken by id as they arrive in a micro-batch; reason is ``tokens``, or ``age`` where
+    the unit's oldest item has waited for ``minutes`` since it arrived, whatever came after it. A
+    unit keeps less than ``tokens`` tokens in its state, so states stay small."""
+    wait = int(minutes * 60_000)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        number, ids, sizes = (x if i == 0 else list(x) for i, x in enumerate(state.get)) if state.exists else (0, [], [])
+        now = state.getCurrentProcessingTimeMs()
+        number, ids, sizes, since = state.get if state.exists else (0, [], [], now)
+        ids, sizes = list(ids), list(sizes)
+        late = state.hasTimedOut or bool(ids and now >= since + wait)
         if not state.hasTimedOut:
             new = pd.concat(list(pdfs)).sort_values("id")
+            since = since if ids else now
             ids, sizes = ids + new["id"].tolist(), sizes + new["token_count"].tolist()
         out = []
-        while ids and (state.hasTimedOut or sum(sizes) >= tokens):
+        while ids and (late or sum(sizes) >= tokens):
+            reason = "tokens" if sum(sizes) >= tokens else "age"
             n = cut(sizes)
-            number += 1
-            out.append((key[0], number, ids[:n], sum(sizes[:n]), "age" if state.hasTimedOut else "tokens"))
+            number, since = number + 1, now
+            out.append((key[0], number, ids[:n], sum(sizes[:n]), reason))
             ids, sizes = ids[n:], sizes[n:]
-        state.update((number, ids, sizes))
+        state.update((number, ids, sizes, since))
         if ids:
-            state.setTimeoutDuration(minutes * 60_000)
+            state.setTimeoutDuration(max(1, since + wait - now))
         if out:
             yield pd.DataFrame(out, columns=["unit", "batch", "ids", "tokens", "reason"])
 
     rows = items.select("unit", "id", "token_count")
     return rows.groupBy("unit").applyInPandasWithState(step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def start_available(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Starts a query of batches() that takes what is there and ends. Micro-batches without data
+    are left out, as one that may time out would ask for another one for ever; so ``age`` batches
+    need a query with a processing-time trigger."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)

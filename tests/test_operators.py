@@ -32,7 +32,7 @@ def test_text_functions(spark):
 
 def test_keys_and_configuration(spark):
     got = spark.range(1).select(K.work_unit_key(F.lit("w"), F.lit("a b"), F.lit("p")).alias("k"), K.resolve(("m", F.lit(None).cast("int")), ("s", F.lit(2))).alias("c"), K.json_flag(F.lit('{"observe_me": false}'), "observe_me").alias("f"), K.json_flag(F.lit('{"observe_me": "false"}'), "observe_me").alias("g"), K.backoff_seconds(F.lit(3)).alias("b"), K.backoff_seconds(F.lit(30)).alias("most"), K.valid_id(F.lit("a b")).alias("v")).first()
-    assert got["k"].startswith("representation:w:~") and len(got["k"].split(":")[2]) == 33
+    assert got["k"] == "representation:w:~8787cc9dfd0216ba87644d9029ea5523:p"  # the hash of UTF-16LE bytes
     assert (got["c"]["value"], got["c"]["source"], got["f"], got["g"], got["b"], got["most"], got["v"]) == (2, "s", False, None, 20.0, 300.0, False)
     assert K.canonical_json('{"b": 1.00, "a": [true, {"d": 1e400, "c": null}]}') == '{"a":[true,{"c":null,"d":1e400}],"b":1.00}'
     assert K.request_hash("POST", "/x", ["a", "bc"], "{}") != K.request_hash("POST", "/x", ["ab", "c"], "{}")
@@ -127,11 +127,18 @@ def test_transcripts_and_facts(spark):
     assert rows(window, "seq", "target") == [(7, False), (8, False), (9, True), (10, True)]
     stops = said.withColumn("token_count", F.when(F.col("seq") == 8, 100).otherwise(F.col("token_count")))
     assert rows(transcript.context_window(stops, targets, budget=60, context=4), "seq") == [(9,), (10,)]
-    text = transcript.transcripts(window, 'p"x').first()["transcript"]
+    from datetime import datetime as when
     import json
 
-    got = json.loads(text)
-    assert got["target_peer"] == 'p"x' and [m.get("id") for m in got["messages"]] == [None, None, "9", "10"]
+    said = said.withColumn("created_at", F.lit(when(2024, 5, 1, 2, 3, 4, 56)).cast("timestamp_ntz"))
+    batches = spark.createDataFrame([("u", "s", 'p"x', ["9", "10", "gone"], 3, ["a", 'b"'], "sys"), ("v", "s", "q", ["2"], 1, [], "")], "unit string, session string, target_peer string, targets array<string>, n int, instructions array<string>, system string")
+    made = {r["unit"]: json.loads(r["transcript"]) for r in transcript.transcripts(said, batches, 10_000, context=1).collect()}
+    assert made["u"]["target_peer"] == 'p"x' and made["u"]["message_instructions"] == ["a", 'b"'] and "message_instructions" not in made["v"]
+    assert [m.get("id") for m in made["u"]["messages"]] == [None, None, "9", "10"] and list(made["u"]["messages"][2]) == ["id", "speaker", "role", "sent_at", "content"]
+    assert made["u"]["messages"][0] == {"speaker": "q", "role": "context", "sent_at": "2024-05-01T02:03:04.0000560+00:00", "content": "text 7"}
+    assert [m.get("id") for m in made["v"]["messages"]] == [None, "2"]
+    tight = transcript.transcripts(said, batches.where("unit = 'u'"), sum(map(len, (json.dumps(m, separators=(",", ":")) for m in made["u"]["messages"][1:]))) + 3 + len('{"target_peer":"p\\"x","message_instructions":["a","b\\""],"messages":[]}'), context=9)
+    assert [m["content"] for m in json.loads(tight.first()["transcript"])["messages"]] == ["text 8", "text 9", "text 10"]
     facts = spark.createDataFrame([("f1", "u", "a", ["2", "1", "2"]), ("f2", "u", " ", ["1"]), ("f3", "u", "b", ["1", "9"]), ("f4", "u", "c", [])], "fact_id string, unit string, content string, source_ids array<string>")
     marks = spark.createDataFrame([("u", "1", 0), ("u", "2", 1)], "unit string, id string, place int")
     valid = transcript.valid_facts(facts, marks)
@@ -172,9 +179,11 @@ def test_appends(spark):
     asked = spark.createDataFrame([("w", "a", 1), ("w", "a", 0), ("w", "b", 2), ("w", "c", 3)], "workspace string, key_hash string, position int")
     have = spark.createDataFrame([("w", "b", t(61)), ("w", "c", t(60))], "workspace string, key_hash string, expires_at timestamp_ntz")
     assert rows(members.unseen_requests(asked, have, NOW), "key_hash", "position") == [("a", 0), ("c", 3)]
+    from palimpsest.operators import conclusions
+
     waiting = spark.createDataFrame([("1", "x", None, 0, None), ("2", "y", None, 0, None), ("3", "z", [1.0], 1, None)], "id string, content string, embedding array<float>, embedding_state int, deleted_at timestamp_ntz")
     made = spark.createDataFrame([("1", "x", [2.0]), ("2", "changed", [2.0]), ("3", "z", [2.0])], "id string, content string, vector array<float>")
-    assert rows(members.save_embeddings(waiting, made), "id", "embedding") == [("1", [2.0]), ("2", None), ("3", [1.0])]
+    assert rows(conclusions.save_embeddings(waiting, made), "id", "embedding") == [("1", [2.0]), ("2", None), ("3", [1.0])]
 
 
 def test_log_publishes_batches_once(spark, tmp_path):
@@ -195,7 +204,7 @@ def test_log_publishes_batches_once(spark, tmp_path):
 
 
 def test_queue_as_a_stream(spark, tmp_path):
-    from palimpsest.streaming.work_queue import batches, cut
+    from palimpsest.streaming.work_queue import batches, cut, start_available
 
     assert cut([600, 600]) == 1 and cut([2000]) == 1 and cut([500, 524, 1]) == 2 and cut([]) == 0
     source = str(tmp_path / "in")
@@ -203,6 +212,25 @@ def test_queue_as_a_stream(spark, tmp_path):
     for part in ([("u", 1, 300), ("v", 2, 10)], [("u", 3, 300), ("u", 4, 900), ("v", 5, 2000)]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     stream = batches(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
-    stream.writeStream.format("memory").queryName("queue_batches").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    query = start_available(spark, stream.writeStream.format("memory").queryName("queue_batches").option("checkpointLocation", str(tmp_path / "check")).outputMode("append"))
+    assert query.awaitTermination(60)
     got = spark.table("queue_batches")
     assert rows(got, "unit", "batch", "ids", "reason") == [("u", 1, [1, 3], "tokens"), ("u", 2, [4], "tokens"), ("v", 1, [2], "tokens"), ("v", 2, [5], "tokens")]
+
+
+def test_old_items_leave_a_stream_by_age(spark, tmp_path):
+    import time
+
+    from palimpsest.streaming.work_queue import batches
+
+    source, schema = str(tmp_path / "in"), "unit string, id bigint, token_count int"
+    spark.createDataFrame([("u", 1, 5), ("v", 2, 600)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = batches(spark.readStream.schema(schema).parquet(source), minutes=0.05)
+    query = stream.writeStream.format("memory").queryName("old_batches").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.monotonic() + 50
+        while spark.table("old_batches").count() < 2 and time.monotonic() < end:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert rows(spark.table("old_batches"), "unit", "batch", "ids", "reason") == [("u", 1, [1], "age"), ("v", 1, [2], "tokens")]

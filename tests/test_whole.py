@@ -98,7 +98,7 @@ def test_nearest_over_several_tiles(spark, monkeypatch):
     monkeypatch.setattr(search, "TILE", 8)
     r = random.Random(3)
     vectors = [[r.gauss(0, 1) for _ in range(3)] for _ in range(120)]
-    frame = spark.createDataFrame([(i, "xy"[i % 2], v) for i, v in enumerate(vectors + vectors[:40])], "id int, c string, embedding array<float>").localCheckpoint()
+    frame = spark.createDataFrame([(i, "xy"[i % 2], v) for i, v in enumerate(vectors + vectors[:40])], "id int, c string, embedding array<float>").cache()
     probes = frame.where("id % 3 = 0").withColumnRenamed("id", "probe")
     a, b = probes.alias("a"), frame.alias("b")
     pairs = a.join(b, dedup.F.expr("a.c = b.c")).withColumn("d", search.cosine_distance(dedup.F.col("b.embedding"), dedup.F.col("a.embedding"))).where("d <= 0.2")
