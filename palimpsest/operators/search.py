@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.vectors import cosine_distance
@@ -118,10 +118,24 @@ def linked(rows: DataFrame, block: list[str], most: float, key: str = "id") -> D
 
 
 def pairs_within(rows: DataFrame, block: list[str], most: float) -> DataFrame:
-    """Pairs (a, b), a < b, of one block with a distance of at most ``most``."""
-    left = rows.select(F.col("id").alias("a"), *[F.col(b).alias(f"_{b}") for b in block], F.col("embedding").alias("_embedding"))
-    same: Column = F.col("a") < F.col("id")
-    for b in block:
-        same = same & (F.col(f"_{b}") == F.col(b))
-    found = left.join(rows, same).select("a", F.col("id").alias("b"), cosine_distance(F.col("embedding"), F.col("_embedding")).alias("distance"))
+    """Pairs (a, b, distance), a < b, of one block with a distance of at most ``most``. All pairs are
+    compared, two tiles at a time, but only those that may be near enough leave a task; they are
+    measured exactly then."""
+    tiles = _tiles(rows, "id", block)
+    kind = tiles.schema["keys"].dataType.elementType.simpleString()
+    a = tiles.select("block", F.col("tile").alias("l"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("r"), "keys", "vectors")
+    b = tiles.select("block", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("l"), F.col("tile").alias("r"), "keys", "vectors").toDF("block", "l", "r", "keys", "vectors")
+
+    def compare(key: tuple, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        (ids, u), (others, v) = _unit(one), _unit(other)
+        found = []
+        for i in range(0, len(ids), 512):
+            for x, y in np.argwhere(1 - u[i : i + 512] @ v.T <= most + SLACK):
+                if key[1] < key[2] or ids[i + x] < others[y]:
+                    found.append(tuple(sorted((ids[i + x], others[y]))))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+    pairs = a.groupBy("block", "l", "r").cogroup(b.groupBy("block", "l", "r")).applyInPandas(compare, f"a {kind}, b {kind}")
+    side = lambda name, column: rows.select(F.col("id").alias(name), F.col("embedding").alias(column))
+    found = pairs.join(side("a", "_one"), "a").join(side("b", "_other"), "b").select("a", "b", cosine_distance(F.col("_one"), F.col("_other")).alias("distance"))
     return found.where(F.col("distance") <= most)
