@@ -22,7 +22,7 @@ PROFILE_SIZE = 400
 UNDETERMINED = "und"
 #: Letters are at most 21 bits, so three fit a signed 64-bit integer.
 _BITS = 21
-_HELD_LETTERS = 1 << 19
+_HELD_LETTERS, _HELD_GRAMS = 1 << 19, 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -88,16 +88,24 @@ class GramCounts:
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE_SIZE) -> dict[str, np.ndarray]:
     """Profiles from all rows of (text, lang) with a lang: whole texts are counted, partial counts
-    are summed by (lang, n-gram), and only ``size`` n-grams of each language come to the driver."""
+    are summed by (lang, n-gram), and only ``size`` n-grams of each language come to the driver. A
+    task hands on what it has counted once it holds ``_HELD_GRAMS`` n-grams."""
 
     def counted(batches):
         sums: dict[str, GramCounts] = {}
+
+        def handed_on():
+            for lang, own in sums.items():
+                found, counts = own.summed()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            sums.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 sums.setdefault(lang.as_py(), GramCounts()).add(letter_codes(text.as_py()))
-        for lang, own in sums.items():
-            found, counts = own.summed()
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            if sum(len(own.found) for own in sums.values()) > _HELD_GRAMS:
+                yield from handed_on()
+        yield from handed_on()
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sums = rows.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -432,7 +432,7 @@ class _Join:
 
     def groups(self) -> DataFrame:
         """(leader, cls, n, vec): the members of each leader, itself among them."""
-        tokens, levels = _frequent(self.counts)
+        frequent = self.rows.sparkSession.sparkContext.broadcast(_frequent(self.counts))
         bits, twins = self.bits, self.twins
 
         def prefixes(batches):
@@ -441,7 +441,7 @@ class _Join:
                 parts = []
                 for cls, _, _, own in _sets(batch.column(0), bits, twins, seen):
                     if own is not None:
-                        first, level = prefix(own, tokens, levels)
+                        first, level = prefix(own, *frequent.value)
                         parts.append((first.view(np.int64), salt_of(cls, level), np.full(len(first), cls, dtype=np.int64)))
                 if parts:
                     yield _record(["token", "salt", "cls"], [pa.int64()] * 3, [np.concatenate(x) for x in zip(*parts, strict=True)])
