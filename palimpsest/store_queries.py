@@ -9,11 +9,11 @@ from palimpsest.functions import keys as K
 from palimpsest.functions import text as X
 from palimpsest.functions.tokens import token_counter
 from palimpsest.operators import conclusions as C
-from palimpsest.operators import dedup, members, paging, represent, transcript
+from palimpsest.operators import dedup, members, models, paging, represent, transcript
 from palimpsest.operators import work_queue as Q
 from palimpsest.plans.filters import compile_filter
 from palimpsest.registry import QUERIES, SQL, query
-from palimpsest.sources import log
+from palimpsest.sources import log, wire
 from palimpsest.sources import views as V
 
 NOW = f"TIMESTAMP '{V.NOW}'"
@@ -102,6 +102,26 @@ def conclusion_listing(spark, sf_dir):
     return C.listing(t["conclusions"], t["collections"], t["peers"], t["sessions"]).select("id", "observer", "observed", "session", "level")
 
 
+@query(f"WITH {V.CONCLUSIONS} SELECT id, content, 'me' AS observer_id, source AS observed_id, lang AS session_id, CASE level WHEN 0 THEN 'explicit' WHEN 1 THEN 'deductive' ELSE 'inductive' END AS level, created_at FROM conclusions WHERE deleted_at IS NULL AND source IS NOT NULL")
+def conclusions_on_the_wire(spark, sf_dir):
+    t = V.conclusion_tables(spark, sf_dir)
+    return wire.wire(C.listing(t["conclusions"], t["collections"], t["peers"], t["sessions"]), "conclusion")
+
+
+@query(f"""WITH {V.CONCLUSIONS}, oldest AS (SELECT id FROM conclusions WHERE deleted_at IS NULL AND embedding_state = 0 ORDER BY created_at, id LIMIT 96)
+SELECT id, CASE WHEN id IN (SELECT id FROM oldest) THEN CASE WHEN contains(content, 'qu') THEN 2 ELSE 1 END ELSE embedding_state END AS embedding_state FROM conclusions""")
+def embedding_backlog_tick(spark, sf_dir):
+    """One turn of the backlog, by a model that fails on some texts."""
+    rows = V.conclusion_tables(spark, sf_dir)["conclusions"].withColumns({"embedding": F.lit(None).cast("array<float>")})
+
+    def picky(texts: list[str]) -> list[list[float]]:
+        if any("qu" in x for x in texts):
+            raise ValueError("no such letters")
+        return models.deterministic_embedder(8)(texts)
+
+    return models.embedding_tick(rows, picky, 8, batch=32, most=3).select("id", "embedding_state")
+
+
 @query(f"WITH {V.CONCLUSIONS} SELECT id FROM conclusions WHERE deleted_at IS NULL AND embedding_state = 1")
 def searchable_conclusions(spark, sf_dir):
     return C.live(V.conclusion_tables(spark, sf_dir)["conclusions"], searchable=True).select("id")
@@ -227,6 +247,28 @@ _ENTRY = """'{' || CASE WHEN target THEN '"id":' || to_json(id) || ',' ELSE '' E
   || '","sent_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') || '0+00:00","content":' || to_json(content) || '}'"""
 
 
+def _asked_batches(spark, sf_dir):
+    """(unit, session, target_peer, targets, n, instructions, system) of each session with targets."""
+    batch, targets = _batches(spark, sf_dir)
+    sizes = batch.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
+    asked = targets.groupBy("session").agg(F.collect_list("id").alias("targets"))
+    batches = asked.join(sizes, "session").join(transcript.instructions(targets), "session", "left")
+    return batches.select(F.concat(F.lit("u"), "session").alias("unit"), "session", F.lit("user").alias("target_peer"), "targets", "n", "instructions", F.lit("a prompt").alias("system"))
+
+
+@query(f"{_BATCHES} SELECT id AS source, content FROM targets")
+def facts_by_model(spark, sf_dir):
+    """The facts that the offline model finds in each session's transcript, after one that fails."""
+    batches = _asked_batches(spark, sf_dir)
+    texts = transcript.transcripts(V.timed_messages(spark, sf_dir), batches, 3000, context=2)
+
+    def broken(system: str, text: str) -> str:
+        return "no JSON"
+
+    facts = models.derived(texts.withColumn("system", F.lit("a prompt")), [broken, models.echo_model])
+    return facts.select(F.col("source_ids")[0].alias("source"), "content")
+
+
 @query(f"""{_BATCHES}, said AS (SELECT session, list_sort(list(DISTINCT instruction) FILTER (trim(instruction) <> '')) AS instructions, max(seq) AS last FROM targets GROUP BY session),
 sizes AS (SELECT session, count(*) AS n FROM batch GROUP BY session),
 heads AS (SELECT said.*, n, '{{"target_peer":"user"' || CASE WHEN len(instructions) > 0 THEN ',"message_instructions":' || to_json(instructions) ELSE '' END || ',"messages":[' AS head FROM said JOIN sizes USING (session)),
@@ -236,11 +278,7 @@ spent AS (SELECT *, sum(CASE WHEN target THEN length(entry) ELSE 0 END) OVER (PA
 SELECT session, sha256(any_value(head) || string_agg(entry, ',' ORDER BY seq) || ']}}') AS digest, count(*) AS n FROM spent WHERE target OR used <= 3000 - 8 - length(head) - 2 GROUP BY session""")
 def transcript_build(spark, sf_dir):
     """What the model gets for each session's batch, by characters: instructions, targets, context while it fits."""
-    batch, targets = _batches(spark, sf_dir)
-    sizes = batch.groupBy("session").agg(F.count(F.lit(1)).alias("n"))
-    asked = targets.groupBy("session").agg(F.collect_list("id").alias("targets"))
-    batches = asked.join(sizes, "session").join(transcript.instructions(targets), "session", "left")
-    batches = batches.select(F.concat(F.lit("u"), "session").alias("unit"), "session", F.lit("user").alias("target_peer"), "targets", "n", "instructions", F.lit("a prompt").alias("system"))
+    batches = _asked_batches(spark, sf_dir)
     out = transcript.transcripts(V.timed_messages(spark, sf_dir), batches, 3000, context=2)
     n = F.size(F.split("transcript", '"sent_at":"2024-')) - 1
     return out.select(F.substring("unit", 2, 100).alias("session"), F.sha2("transcript", 256).alias("digest"), n.cast("bigint").alias("n"))

@@ -16,7 +16,7 @@ from palimpsest.functions import keys as K
 from palimpsest.functions.levels import LEVELS, level_name, level_number
 from palimpsest.functions.tokens import characters, token_counter
 from palimpsest.functions.vectors import deterministic_embedding
-from palimpsest.operators import conclusions, dedup, represent, search
+from palimpsest.operators import conclusions, dedup, models, represent, search
 from palimpsest.queries import QUERIES
 from palimpsest.sources import schema
 
@@ -116,3 +116,20 @@ def test_the_rest_imports_without_the_training_data_operators(tmp_path):
     (tmp_path / "palimpsest" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 100 and set(s) <= set(q) and not any(n.startswith('op') for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_models_that_fail(spark):
+    rows = spark.createDataFrame([(i, "bad" if i % 7 == 0 else "short" if i % 7 == 1 else "odd" if i % 7 == 2 else f"text {i}") for i in range(60)], "id int, content string").coalesce(2)
+
+    def picky(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return [[1.0] if x == "short" else [float("nan"), 1.0] if x == "odd" else [1.0, 2.0] for x in texts]
+
+    got = {r["id"]: r["vector"] for r in models.embedded(rows, picky, 2, batch=8).collect()}
+    assert got == {i: None if i % 7 < 3 else [1.0, 2.0] for i in range(60)}
+    texts = spark.createDataFrame([("u", None, '{"messages": [{"id": "m", "content": "c"}, {"content": "d"}]}')], "unit string, system string, transcript string")
+    odd = lambda system, text: '{"facts": [{"content": 1, "source_ids": []}]}'
+    assert [tuple(r) for r in models.derived(texts, [odd, models.echo_model]).collect()] == [("u", "u/0", "c", ["m"])]
+    with pytest.raises(Exception, match="no model answers u"):
+        models.derived(texts, [odd]).collect()
