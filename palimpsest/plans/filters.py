@@ -17,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.binding import let
 from palimpsest.functions.levels import LEVELS, level_name
-from palimpsest.plans.metadata import BOOLEAN, NUMBER, STRING, Lexeme, elements, equal_to, is_string, marked, number_key, scalar, strict_loads, string_of, value_at
+from palimpsest.plans.metadata import BOOLEAN, NUMBER, STRING, Lexeme, compare_number, elements, equal_to, is_string, marked, marked_scalar, number_in, scalar, strict_loads, string_of, value_at
 
 OPERATORS = ("gt", "gte", "lt", "lte", "ne", "in", "contains", "icontains")
 ORDER = ("gt", "gte", "lt", "lte")
@@ -259,35 +260,33 @@ def _metadata(value, column: str) -> Column:
 
 
 def _entry(column: str, path: list[str], test: Callable[[Column], Column]) -> Column:
-    return _known(test(value_at(marked(F.col(column)), path)))
+    return let(value_at(marked(F.col(column)), path), test)
 
 
 def _holds(value: Column, operand) -> Column:
     return F.exists(elements(value), lambda x: _known(equal_to(x, operand)))
 
 
-def _set(column: str, path: list[str]) -> Column:
-    return _entry(column, path, Column.isNotNull)
-
-
 def _key(column: str, path: list[str], value) -> Column:
-    if value is None:
-        return ~_set(column, path)
-    if isinstance(value, list):
-        if not value or len(value) > MOST_ITEMS:
-            raise FilterError(f"{path}: a list of {len(value)} items")
-        wanted = [_scalar(path, x) for x in value]
-        return _entry(column, path, lambda v: _all([_holds(v, w) for w in wanted]))
+    """The condition on the value at a path, which is parsed once for all of its operators."""
     if isinstance(value, dict):
         operators = sum(k in OPERATORS for k in value)
         if not value or 0 < operators < len(value):
             raise FilterError(f"{path}: an empty object, or operators among keys")
         if not operators:
             return _all([_key(column, [*path, k], v) for k, v in value.items()])
-        return _all([_key_operator(column, path, op, x) for op, x in value.items()])
+        tests = [_key_operator(path, op, x) for op, x in value.items()]
+        return _entry(column, path, lambda v: _all([_known(test(v)) for test in tests]))
+    if value is None:
+        return _entry(column, path, Column.isNull)
+    if isinstance(value, list):
+        if not value or len(value) > MOST_ITEMS:
+            raise FilterError(f"{path}: a list of {len(value)} items")
+        wanted = [_scalar(path, x) for x in value]
+        return _entry(column, path, lambda v: _known(_all([_holds(v, w) for w in wanted])))
     if value == "*" and not isinstance(value, Lexeme):
-        return _set(column, path)
-    return _entry(column, path, lambda v: equal_to(v, value))
+        return _entry(column, path, Column.isNotNull)
+    return _entry(column, path, lambda v: _known(equal_to(v, value)))
 
 
 def _scalar(path: list[str], value, kinds: tuple[int, ...] = (STRING, NUMBER, BOOLEAN)):
@@ -296,28 +295,34 @@ def _scalar(path: list[str], value, kinds: tuple[int, ...] = (STRING, NUMBER, BO
     return value
 
 
-def _key_operator(column: str, path: list[str], op: str, operand) -> Column:
+def _key_operator(path: list[str], op: str, operand) -> Callable[[Column], Column]:
+    """The test of a marked value that an operator means."""
     if op == "ne":
-        return _set(column, path) if operand is None else ~_entry(column, path, lambda v: equal_to(v, _scalar(path, operand)))
+        if operand is None:
+            return Column.isNotNull
+        wanted = _scalar(path, operand)
+        return lambda v: _not(equal_to(v, wanted))
     if op == "in":
         if not isinstance(operand, list) or len(operand) > MOST_ITEMS:
             raise FilterError(f"{path}: in takes a list of up to {MOST_ITEMS} items")
         if any(x == "*" and not isinstance(x, Lexeme) for x in operand):
-            return _set(column, path)
-        wanted = [_scalar(path, x) for x in operand if x is not None]
-        numbers = [scalar(x)[2] for x in wanted if scalar(x)[0] == NUMBER]
-        others = [x for x in wanted if scalar(x)[0] != NUMBER]
-        same = lambda v: _any([number_key(v).isin(numbers)] * bool(numbers) + [equal_to(v, x) for x in others])
-        found = _entry(column, path, same)
-        return found | ~_set(column, path) if None in operand else found
+            return Column.isNotNull
+        items = [_scalar(path, x) for x in operand if x is not None]
+        numbers, others = [x for x in items if scalar(x)[0] == NUMBER], [marked_scalar(x) for x in items if scalar(x)[0] != NUMBER]
+
+        def among(v: Column) -> Column:
+            found = [number_in(v, numbers)] * bool(numbers) + [v.isin(others)] * bool(others) + [v.isNull()] * (None in operand)
+            return _any([_known(x) for x in found])
+
+        return among
     if op in ("contains", "icontains"):
         text = F.lit(str(_scalar(path, operand, (STRING,))))
         fold = F.upper if op == "icontains" else lambda c: c
         inside = lambda v: is_string(v) & F.contains(fold(string_of(v)), fold(text))
-        among = lambda v: F.exists(elements(v), lambda x: _known(is_string(x) & (fold(string_of(x)) == fold(text))))
-        return _entry(column, path, lambda v: _known(inside(v)) | _known(among(v)))
-    kind, text, number = scalar(_scalar(path, operand, (NUMBER, STRING)))
-    tests = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
+        listed = lambda v: F.exists(elements(v), lambda x: _known(is_string(x) & (fold(string_of(x)) == fold(text))))
+        return lambda v: _known(inside(v)) | _known(listed(v))
+    kind, text, _ = scalar(_scalar(path, operand, (NUMBER, STRING)))
     if kind == NUMBER:
-        return _entry(column, path, lambda v: tests[op](number_key(v), F.lit(number)))
-    return _entry(column, path, lambda v: is_string(v) & tests[op](F.encode(string_of(v), "UTF-16BE"), F.encode(F.lit(text), "UTF-16BE")))
+        return lambda v: compare_number(v, op, operand)
+    tests = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
+    return lambda v: is_string(v) & tests[op](F.encode(string_of(v), "UTF-16BE"), F.encode(F.lit(text), "UTF-16BE"))

@@ -9,10 +9,13 @@ strings, where true, false, objects and arrays are their own JSON text and null
 from __future__ import annotations
 
 import json
+from decimal import ROUND_FLOOR, Decimal, localcontext
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.binding import let
+from palimpsest.functions.numbers import NUMBER as _NUMBER
 from palimpsest.functions.numbers import order_key, order_key_of
 
 NULL, STRING, NUMBER, BOOLEAN, ARRAY, OBJECT = range(6)
@@ -76,8 +79,11 @@ def marked(text: Column) -> Column:
 
 def value_at(text: Column, path: list[str]) -> Column:
     """The marked value at a path of keys, from marked(); null where it is null or isn't there."""
+    def inside(key: str):
+        return lambda t: F.from_json(F.when(F.ltrim(t).startswith("{"), t), "map<string,string>")[key + MARK]
+
     for key in path:
-        text = F.from_json(F.when(F.ltrim(text).startswith("{"), text), "map<string,string>")[key + MARK]
+        text = let(text, inside(key))
     return text
 
 
@@ -94,14 +100,62 @@ def string_of(value: Column) -> Column:
     return F.substring(value, 1, F.length(value) - 1)
 
 
-def number_key(value: Column) -> Column:
-    """The order key of a value that is a number, else null."""
-    return order_key_of(F.when(value.startswith(MARK) & ~is_string(value), F.substring(value, 2, F.length(value))))
+#: A number of so many characters and no exponent is exact as a decimal of _SCALE digits below one.
+_SHORT, _SCALE = 18, 18
+
+
+def _floored(operand: str) -> tuple[Decimal | None, bool, int]:
+    """A number's text rounded down to _SCALE digits below one, whether that is exact, and its sign;
+    None where it is beyond all short numbers."""
+    number = _NUMBER.fullmatch(operand)
+    sign = -1 if number[1] else 1
+    digits, power = (number[2] + (number[3] or "")).lstrip("0"), number[4] or "0"
+    if not digits:
+        return Decimal(0), True, 0
+    lead = len(digits) - len(number[3] or "")  # digits before the point, without the exponent
+    if len(power) > 6 or lead + int(power) > 19:
+        return (None, False, sign) if not power.startswith("-") or lead + int(power[:7]) > 19 else (Decimal(0) if sign > 0 else Decimal(-1).scaleb(-_SCALE), False, sign)
+    with localcontext() as context:
+        context.prec = 2_000_000
+        exact = Decimal(operand)
+        down = exact.quantize(Decimal(1).scaleb(-_SCALE), rounding=ROUND_FLOOR)
+        return down, down == exact, sign
+
+
+def compare_number(value: Column, op: str, operand: str) -> Column:
+    """Whether a value is a number that is eq, gt, gte, lt or lte another one, given by its text.
+    Short numbers are compared as decimals, others by their order keys."""
+    down, exact, sign = _floored(operand)
+    tests = {"eq": Column.__eq__, "gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
+    if down is None:  # beyond all short numbers
+        short = lambda x: F.lit(op in (("lt", "lte") if sign > 0 else ("gt", "gte")))
+    elif exact:
+        short = lambda x: tests[op](x, F.lit(str(down)).cast(f"decimal(38,{_SCALE})"))
+    else:  # no short number lies between the operand and its rounding
+        rounded = {"gt": "gt", "gte": "gt", "lt": "lte", "lte": "lte"}.get(op)
+        short = lambda x: tests[rounded](x, F.lit(str(down)).cast(f"decimal(38,{_SCALE})")) if rounded else F.lit(False)
+    text = F.substring(value, 2, _SHORT + 1)
+    is_short = (F.length(value) <= _SHORT + 1) & ~F.contains(F.lower(value), F.lit("e"))
+    long = tests[op](order_key_of(F.substring(value, 2, F.length(value))), F.lit(order_key(operand)))
+    return value.startswith(MARK) & ~is_string(value) & F.when(is_short, short(text.cast(f"decimal(38,{_SCALE})"))).otherwise(long)
+
+
+def number_in(value: Column, operands: list[str]) -> Column:
+    """Whether a value is a number that equals one of those given by their texts."""
+    short = [str(down) for down, exact, _ in map(_floored, operands) if exact]
+    is_short = (F.length(value) <= _SHORT + 1) & ~F.contains(F.lower(value), F.lit("e"))
+    number = F.substring(value, 2, _SHORT + 1).cast(f"decimal(38,{_SCALE})")
+    hit = number.isin([F.lit(x).cast(f"decimal(38,{_SCALE})") for x in short]) if short else F.lit(False)
+    long = order_key_of(F.substring(value, 2, F.length(value))).isin([order_key(x) for x in operands])
+    return value.startswith(MARK) & ~is_string(value) & F.when(is_short, hit).otherwise(long)
+
+
+def marked_scalar(operand) -> str:
+    """A string or a boolean as a marked value."""
+    kind, text, _ = scalar(operand)
+    return text + MARK if kind == STRING else text
 
 
 def equal_to(value: Column, operand) -> Column:
     """Whether a marked value is the same as a scalar."""
-    kind, text, number = scalar(operand)
-    if kind == NUMBER:
-        return number_key(value) == number
-    return value == (text + MARK if kind == STRING else text)
+    return compare_number(value, "eq", operand) if scalar(operand)[0] == NUMBER else value == marked_scalar(operand)

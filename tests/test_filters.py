@@ -196,6 +196,25 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "EqualTo(peer,3)" in plan and "content" not in plan.split("ReadSchema")[1]
 
 
+def test_numbers_of_any_size_against_fractions(spark):
+    r = random.Random(8)
+    texts = [*NUMBERS, "1e-19", "-1e-19", "0.000000000000000001", "-0.00000000000000001", "9999999999999999999", "10000000000000000000", "99999999999999999", "1e19", "1e18", "12345678901234567", "1234567890.1234567", "-1e999999999", "1e-999999999", "0.1234567890123456789"]
+    texts += [f"{r.choice(['', '-'])}{r.randint(0, 10 ** r.randint(0, 22))}" + ("" if r.random() < 0.5 else f".{r.randint(0, 10 ** r.randint(1, 22))}") for _ in range(60)]
+    frame = spark.createDataFrame([(i, f'{{"k": {x}}}') for i, x in enumerate(texts)], "i int, metadata string").cache()
+    exact = [None if "e9999" in x or "e-9999" in x else fraction(x) for x in texts]
+    asked = [i for i in range(len(texts)) if exact[i] is not None][::3] + [i for i in range(len(NUMBERS), len(NUMBERS) + 14) if exact[i] is not None]
+    columns = [compile_filter(f'{{"metadata": {{"k": {{"{op}": {texts[j]}}}}}}}', "message").alias(f"c{j}_{op}") for j in dict.fromkeys(asked) for op in ("gt", "gte", "lt", "lte")]
+    columns += [compile_filter(f'{{"metadata": {{"k": {{"in": [{texts[j]}, "x"]}}}}}}', "message").alias(f"c{j}_in") for j in dict.fromkeys(asked)]
+    tests = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b, "in": lambda a, b: a == b}
+    for row in frame.select("i", *columns).collect():
+        if exact[row["i"]] is not None:
+            for j in dict.fromkeys(asked):
+                for op, test in tests.items():
+                    assert row[f"c{j}_{op}"] == test(exact[row["i"]], exact[j]), (op, texts[row["i"]], texts[j])
+    for op, hit in (("lt", True), ("gt", False)):
+        assert frame.where(compile_filter(f'{{"metadata": {{"k": {{"{op}": 1e999999999}}}}}}', "message")).count() == (len(texts) if hit else 0)
+
+
 def test_strings_and_keys_of_any_characters(spark):
     """Quotes, backslashes, control characters and numbers inside strings, at several depths."""
     odd = ['"', "\\", '\\"', "\\\\\"x\\", "\x01", "\x01 5", "5", "a\x01", '{"k": 1}', "[1]", "n\\n", "\n", "é\U0001f600", "-1e5", "true", 'x"y": 2, "z', "\\u0022", "/"]
