@@ -77,6 +77,18 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(plain, r'"([^"]*+)"|(-?\d++(?:\.\d++)?(?:[eE][+-]?\d++)?)', r'"$1\\u0001$2"')
 
 
+def is_strict(text: Column, depth: int = 64) -> Column:
+    """Whether a text may be stored as metadata: an object in valid JSON without repeated keys, nested
+    at most so deeply. Null and blank texts stand for an empty object."""
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    steps = F.split(F.regexp_replace(F.regexp_replace(marked(text), '"[^"]*+"', ""), r"[^{}\[\]]", ""), "")
+    level = lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+    deepest = F.aggregate(steps, start, lambda s, c: let(s["at"] + level(c), lambda at: F.struct(at.alias("at"), F.greatest(s["most"], at).alias("most"))))["most"]
+    blank = text.isNull() | ~text.rlike(r"\S")
+    return blank | (whole & (deepest <= depth))
+
+
 def value_at(text: Column, path: list[str]) -> Column:
     """The marked value at a path of keys, from marked(); null where it is null or isn't there."""
     def inside(key: str):

@@ -229,3 +229,11 @@ def test_strings_and_keys_of_any_characters(spark):
         sets = [{r["i"] for r in got if r[f"c{i}_{k}"]} for k in range(5)]
         assert sets[:3] == [{i}] * 3, x
         assert sets[3] == {j for j, y in enumerate(odd) if x in y} and sets[4] == {j for j, y in enumerate(odd) if utf16(y) > utf16(x)}, x
+
+
+def test_strict_metadata(spark):
+    from palimpsest.plans.metadata import is_strict
+
+    texts = {"{}": True, ' {"k": [1, {"z": null}]} ': True, "": True, " ": True, None: True, "[]": False, "1": False, '"x"': False, "{": False, '{"k": 1, "k": 2}': False, '{"k": 01}': False, '{"k": NaN}': False, '{"k": "{[{[{["}': True, '{"k":' * 64 + "1" + "}" * 64: True, '{"k":' * 65 + "1" + "}" * 65: False, '{"k": "a\\"b{"}': True}
+    got = spark.createDataFrame([(k,) for k in texts], "t string").select("t", is_strict(F.col("t")).alias("ok")).collect()
+    assert {r["t"]: r["ok"] for r in got} == texts
