@@ -3,10 +3,11 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from helpers import SF, union_find
+from helpers import SF, union_find, write_documents
 from test_contracts import shingles, targets
 
 from palimpsest.llm.common import materialize
+from palimpsest.llm.mixing import mix
 
 
 def listed(frame):
@@ -75,3 +76,32 @@ def test_pipeline_of_odd_rows(spark, odd):
 
 def test_pipeline_of_an_empty_table(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_a_mixture_of_repeated_doc_ids_takes_what_mix_takes(spark, tmp_path):
+    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(None if i % 9 == 0 else i % 40, words(i, 3 + i * 7 % 60), "en", "abc"[i % 3]) for i in range(160)]
+    rows += [rows[5]] * 6 + [(1, None, "en", "a")]
+    docs = spark.read.parquet(write_documents(tmp_path, rows) + "/documents.parquet")
+    got = listed(corpus_pipeline.mixture(spark, docs, str(tmp_path)))
+    totals, taken = defaultdict(int), defaultdict(int)
+    for _, text, _, source in rows:
+        totals[source] += len((text or "").split())
+    for r in got:
+        taken[r["source"]] += len((r["text"] or "").split())
+    mixed = defaultdict(int)
+    for r in listed(mix(docs)):
+        mixed[r["source"]] += r["taken"]
+    assert taken == mixed and all(abs(taken[k] - aim) <= 3 for k, aim in targets(totals).items())
+    most = Counter((r[0], r[1]) for r in rows)
+    assert all(n <= 2 * most[k] for k, n in Counter((r["doc_id"], r["text"]) for r in got).items())
+
+
+def test_near_copies_without_doc_ids_leave_one(spark, tmp_path):
+    base = [f"w{i}" for i in range(60)]
+    copy = lambda k: " ".join([*base[:k], "other", *base[k + 1 :]])
+    rows = [(None, copy(k), "en", "a") for k in range(4)] + [(7, copy(20), "en", "a"), (7, copy(30), "en", "a"), (None, "quite another text of some words", "en", "a"), (3, None, "en", "a")]
+    for some, kept in ((rows, {(7,), (None, "quite another text of some words"), (3,)}), (rows[:4], {(None,)})):
+        docs = spark.read.parquet(write_documents(tmp_path, some) + "/documents.parquet")
+        got = listed(corpus_pipeline.near(spark, docs, str(tmp_path)))
+        assert len(got) == len(kept) and {r["doc_id"] for r in got} == {k[0] for k in kept}
