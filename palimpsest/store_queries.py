@@ -9,7 +9,7 @@ from palimpsest.functions import keys as K
 from palimpsest.functions import text as X
 from palimpsest.functions.tokens import token_counter
 from palimpsest.operators import conclusions as C
-from palimpsest.operators import dedup, members, models, paging, represent, transcript
+from palimpsest.operators import dedup, members, models, paging, represent, search, transcript
 from palimpsest.operators import work_queue as Q
 from palimpsest.plans.filters import compile_filter
 from palimpsest.registry import QUERIES, SQL, query
@@ -482,6 +482,24 @@ def times_derived_after(spark, sf_dir):
     return dedup.times_derived(rows, kinds.unionByName(more)).select("id", F.col("times_derived").cast("bigint").alias("times_derived"))
 
 
+_VECTORS = "v AS (SELECT vec_id AS id, CAST(label AS INTEGER) % 3 AS level, vec_id // 10 AS created_at, vec_id % 7 AS times_derived, embedding::DOUBLE[] AS e FROM embeddings)"
+_ASKED_VECTOR = [round(0.02 * ((i * 29) % 64 - 31.5), 4) for i in range(64)]
+
+
+@query(f"""WITH {_VECTORS}, near AS (SELECT *, row_number() OVER (ORDER BY 1 - list_cosine_similarity(e, [{', '.join(map(str, _ASKED_VECTOR))}]::DOUBLE[]), created_at, id) AS place FROM v),
+ranked AS (SELECT id, 0 AS rank, place FROM near WHERE place <= 6
+  UNION ALL SELECT id, 1, row_number() OVER (ORDER BY times_derived DESC, created_at DESC, id DESC) AS place FROM v QUALIFY place <= 9
+  UNION ALL SELECT id, 2, row_number() OVER (ORDER BY created_at DESC, id DESC) AS place FROM v QUALIFY place <= 9),
+once AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, place) = 1)
+SELECT id, rank, place FROM once QUALIFY row_number() OVER (ORDER BY rank, place, id) <= 9""")
+def representation_with_search(spark, sf_dir):
+    """The six conclusions nearest to a question, then the most derived, then the newest."""
+    rows = V.vector_conclusions(spark, sf_dir).withColumns({"times_derived": F.col("id") % 7})
+    order = Window.orderBy("distance", "created_at", "id")  # of six rows
+    found = search.search(rows, _ASKED_VECTOR, 6).select("id", F.row_number().over(order).alias("place"))
+    return represent.branches(rows, 9, search=found).select("id", "rank", "place")
+
+
 # Functions over whole tables.
 
 
