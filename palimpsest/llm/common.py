@@ -116,7 +116,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        # a hub's edges: the salt makes the join's shuffle its own, so that a skewed part of it can be split
+        above = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(2)).cast("int"))
+        each = low.withColumn("salt", F.explode(F.array(F.lit(0), F.lit(1)))).withColumnRenamed("node", "a")
+        large = above.join(each, ["a", "salt"]).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = materialize(large, "large", current)
         low = large.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), "low")
         hung = large.join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("low").alias("b"))

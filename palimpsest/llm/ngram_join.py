@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import components, materialize, parts_for, table
@@ -331,37 +331,57 @@ def link_tile(vectors: list[np.ndarray], sets: list[np.ndarray], labels: np.ndar
     return out
 
 
-def _dealt(rows: DataFrame, labels: DataFrame | None, every: bool) -> DataFrame:
-    """(leader, i, j, cls, label, asks, n, vec): rows (leader, cls, n, vec) in tiles. Without
-    labels, tile i of a leader has the leader and a part of its members, all of which ask. With
-    them, those outside the leader's largest component ask, by parts j, in each tile i; leaders
-    with one component or one tile are left out. ``every``: all ask in each tile."""
-    hot = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
-    parts = lambda m, n: F.greatest(F.ceil(F.col(m) / BLOCK), F.ceil(F.col(n) / BLOCK_SHINGLES)).cast("int")
-    hot = materialize(hot.select("leader", parts("m", "shingles").alias("parts")).where("parts > 1"), "hot")
-    salt = F.pmod(F.xxhash64("cls"), F.lit(_SALTS)).cast("int")
-    salted = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    part = lambda name, seed: F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(name)).cast("int")
-    each = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
-    own = F.array(part("parts", 1))
+def _parts(count: str, shingles: str) -> Column:
+    """How many blocks hold so many members with so many shingles."""
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join with a table of one row for each key, in which a hot key's rows aren't all together."""
+    each = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(_SALTS)).cast("int")).join(each, [*keys, "salt"], how).drop("salt")
+
+
+def _part(name: str, seed: int) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(seed)), F.col(name)).cast("int")
+
+
+def _each(name: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(leader, i, j, cls, label, asks, n, vec): rows (leader, cls, n, vec) in tiles. Tile i of a
+    leader has the leader and a part of its members, all of which ask."""
+    hot = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).select("leader", _parts("m", "shingles").alias("parts"))
+    out = _salted(rows, materialize(hot.where("parts > 1"), "hot"), ["leader"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    out = out.withColumn("i", F.explode(F.when(F.col("leader") == F.col("cls"), every).otherwise(F.array(_part("parts", 1)))))
+    return out.select("leader", "i", F.lit(0).alias("j"), "cls", F.col("cls").alias("label"), F.lit(True).alias("asks"), "n", "vec")
+
+
+def _dealt_again(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Tiles in which members of one leader's different tiles meet: those outside the leader's
+    largest component ask, in parts j, all members in parts i; leaders with one tile or component are
+    left out. Linked sets differ in size by a third at most, so members meet by steps of size, each
+    step's askers in its own and the next ones. Without labels all ask."""
+    hot = rows.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).where(_parts("m", "shingles") > 1).select("leader")
+    named = _salted(rows, materialize(hot, "hot"), ["leader"])
     if labels is None:
-        out = rows.withColumn("salt", salt).join(salted(hot), ["leader", "salt"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        out = out.withColumn("i", F.explode(F.when(F.col("leader") == F.col("cls"), each("parts")).otherwise(own)))
-        return out.select("leader", "i", F.lit(0).alias("j"), "cls", F.col("cls").alias("label"), F.lit(True).alias("asks"), "n", "vec")
-    out = rows.withColumn("salt", salt).join(salted(hot), ["leader", "salt"])
-    named = out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.lit(None).cast("long") if every else F.coalesce("component", "cls"))
-    named = materialize(named.select("leader", "parts", "cls", F.coalesce("label", "cls").alias("label"), "n", "vec"), "named")
-    sums = named.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
-    sums = sums.groupBy("leader").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count(F.lit(1)).alias("k"), F.sum("m").alias("all"), F.max("m").alias("most"), F.sum("shingles").alias("shingles"), F.max_by("shingles", F.struct("m", "label")).alias("inside"))
-    sums = sums.where("k > 1").select("leader", "largest", F.greatest(F.ceil((F.col("all") - F.col("most")) / BLOCK), F.ceil((F.col("shingles") - F.col("inside")) / BLOCK_SHINGLES)).cast("int").alias("turns"))
-    out = named.withColumn("salt", salt).join(salted(materialize(sums, "largest")), ["leader", "salt"])
-    if every:
-        out = out.withColumn("turns", F.col("parts"))
-    held = out.withColumn("i", part("parts", 1)).withColumn("j", F.explode(each("turns"))).withColumn("asks", F.lit(False))
-    asking = out if every else out.where("label <> largest")
-    asking = asking.withColumn("j", part("turns", 1 if every else 2)).withColumn("i", F.explode(each("parts"))).withColumn("asks", F.lit(True))
-    both = held.unionByName(asking).select("leader", "i", F.col("j").alias("j"), "cls", "label", "asks", "n", "vec")
-    return both.where("i < j") if every else both
+        named = named.withColumn("label", F.col("cls"))
+    else:
+        named = named.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls"))
+    named = materialize(named.select("leader", "cls", "label", "n", "vec", F.floor(F.log("n") / F.log(F.lit(1.34))).cast("int").alias("step")), "named")
+    sums = named.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("m"))
+    sums = materialize(sums.groupBy("leader").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "largest")
+    held = _salted(named, sums, ["leader"])
+    asking = (held if labels is None else held.where("label <> largest")).withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    sized = lambda frame, name: frame.groupBy("leader", "step").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).select("leader", "step", _parts("m", "shingles").alias(name))
+    tiles = materialize(sized(held, "parts").join(sized(asking, "turns"), ["leader", "step"]), "tiles")
+    held = _salted(held, tiles, ["leader", "step"]).withColumn("i", _part("parts", 1)).withColumn("j", _each("turns"))
+    asking = _salted(asking, tiles, ["leader", "step"]).withColumn("j", _part("turns", 2)).withColumn("i", _each("parts"))
+    columns = lambda frame, asks: frame.select("leader", (F.shiftleft("step", 24) + F.col("i")).alias("i"), "j", "cls", "label", F.lit(asks).alias("asks"), "n", "vec")
+    return columns(held, False).unionByName(columns(asking, True))
 
 
 def _by_tile(rows: DataFrame, sized: DataFrame, columns: list[str], each, schema: str) -> DataFrame:
@@ -470,10 +490,9 @@ class _Join:
         texts = self.rows.join(keys, "key", "left_semi").select("text")
         return texts.mapInArrow(listed, "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
 
-    def round(self, groups: DataFrame, labels: DataFrame | None, every: bool) -> DataFrame:
+    def links(self, dealt: DataFrame, sized: DataFrame, every: bool = False) -> DataFrame:
         """Links (a, b) that the tiles find."""
-        dealt = _dealt(groups, labels, every)
-        marked = materialize(_marked(dealt, groups if labels is None else dealt), "marked")
+        marked = materialize(_marked(dealt, sized), "marked")
         return materialize(_links(marked, self.sets_of(marked), every).distinct(), "links")
 
 
@@ -486,9 +505,10 @@ def jaccard_components(docs: DataFrame, bits: int = 64) -> DataFrame:
     ``bits``: of a class's first hash; sets that share it are told apart by a second one."""
     join = _Join(docs, bits)
     groups = join.groups()
-    links = join.round(groups, None, False)
+    links = join.links(_dealt(groups), groups)
     labels = materialize(components(links), "labels")
-    more = join.round(groups, labels, False)
+    again = _dealt_again(groups, labels)
+    more = join.links(again, again)
     if not more.isEmpty():
         labels = materialize(components(links.unionByName(more)), "labels", labels)
     info = join.info.select("cls", "least")
@@ -506,9 +526,8 @@ def jaccard_links(docs: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame
     row of docs, cls being null where a text has no words. Rows with a common cls have equal sets."""
     join = _Join(docs, bits)
     groups = join.groups()
-    links = join.round(groups, None, True)
-    none = links.select(F.col("a").alias("node"), F.col("b").alias("component")).where("false")
-    links = links.unionByName(join.round(groups, none, True)).distinct()
+    links, again = join.links(_dealt(groups), groups, True), _dealt_again(groups, None)
+    links = links.unionByName(join.links(again, again, True)).distinct()
     return links, join.owned.select("doc_id", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
 
 

@@ -11,6 +11,7 @@ from helpers import SF, frame_of, union_find, write_documents
 from test_contracts import brute_vectors, rows_of, shingles
 
 from palimpsest.llm import embedding_dedup, ngram_join
+from palimpsest.llm.common import components
 from palimpsest.llm.queries import QUERIES
 
 
@@ -114,3 +115,14 @@ def test_a_crowded_cell_is_dealt_out(spark, tmp_path, monkeypatch):
     sure, may = brute_vectors(vectors)
     degree, most = Counter(i for p in sure for i in p), Counter(i for p in may for i in p)
     assert sum(got["n_links"]) >= 0.98 * sum(degree.values()) and all(got.loc[i, "n_links"] <= most[i] for i in range(len(vectors)))
+
+
+def test_components_of_chains_hubs_and_loops(spark):
+    r = random.Random(9)
+    edges = [(i, i + 1) for i in range(100, 170)] + [(500, i) for i in range(501, 700)] + [(7, 7), (9, 8), (8, 9)] + [(r.randint(1000, 1400), r.randint(1000, 1400)) for _ in range(180)]
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+    place = {x: i for i, x in enumerate(nodes)}
+    least = union_find(len(nodes), [(place[a], place[b]) for a, b in edges if a != b], nodes)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(x["node"], x["component"]) for x in got} == set(zip(nodes, least, strict=True)) and len(got) == len(nodes)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
