@@ -50,10 +50,10 @@ def peers_of_regular_kind(spark, sf_dir):
     return C.peers_of_kind(_peers(spark, sf_dir)).select("name")
 
 
-@query("SELECT n_name AS name FROM nation WHERE (n_name IN ('FRANCE', 'JAPAN') OR n_name LIKE '%AN%') AND n_name <> 'CANADA'")
+@query("SELECT n_name AS name FROM nation WHERE (n_name IN ('NATION_3', 'JAPAN') OR contains(n_name, '_1')) AND n_name <> 'NATION_11'")
 def filter_workspaces(spark, sf_dir):
     rows = V.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
-    return rows.where(compile_filter('{"OR": [{"id": {"in": ["FRANCE", "JAPAN"]}}, {"name": {"contains": "AN"}}], "name": {"ne": "CANADA"}}', "workspace"))
+    return rows.where(compile_filter('{"OR": [{"id": {"in": ["NATION_3", "JAPAN"]}}, {"name": {"contains": "_1"}}], "name": {"ne": "NATION_11"}}', "workspace"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS name FROM orders WHERE o_orderdate >= TIMESTAMP '1996-02-03' AND contains(CAST(o_orderkey AS VARCHAR), '7') AND o_orderstatus <> 'O'")
@@ -78,7 +78,7 @@ def _of_conclusions(name: str, request: str, where: str) -> None:
     SQL[name] = f"WITH {V.TEXT_CONCLUSIONS} SELECT id FROM text_conclusions WHERE {where}"
 
 
-_of_conclusions("filter_conclusion_fields", '{"observer_id": "me", "observed_id": {"icontains": "B"}, "session_id": {"in": ["de", "fr"]}}', "contains(upper(collection), 'B') AND session IN ('de', 'fr')")
+_of_conclusions("filter_conclusion_fields", '{"observer_id": "me", "observed_id": {"icontains": "Rc1"}, "session_id": {"in": ["de", "fr"]}}', "contains(upper(collection), 'RC1') AND session IN ('de', 'fr')")
 _of_conclusions("filter_level_eq", '{"level": "explicit"}', "level = 0")
 _of_conclusions("filter_level_in_and_ne", '{"level": {"in": ["deductive", "inductive", "no level"], "ne": "inductive"}}', "level = 1")
 _of_conclusions("filter_level_contains", '{"level": {"contains": "ductive"}, "NOT": [{"level": {"icontains": "DED"}}]}', "level = 2")
@@ -150,9 +150,9 @@ def conclusions_purged(spark, sf_dir):
     return C.purged(V.conclusion_tables(spark, sf_dir)["conclusions"], V.NOW).select("id")
 
 
-@query(f"SELECT event_id AS id FROM events WHERE ts + INTERVAL 24 HOUR > {NOW}")
+@query(f"SELECT event_id AS id FROM events WHERE ts + INTERVAL 3120 HOUR > {NOW}")
 def requests_unexpired(spark, sf_dir):
-    rows = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.timestamp_add("HOUR", F.lit(24), F.col("ts")).alias("expires_at"))
+    rows = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.timestamp_add("HOUR", F.lit(3120), F.col("ts")).alias("expires_at"))
     return C.unexpired(rows, V.NOW).select("id")
 
 
