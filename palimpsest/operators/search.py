@@ -39,18 +39,13 @@ def _tiles(rows: DataFrame, key: str, block: list[str]) -> DataFrame:
     whole = whole.select(F.to_json(F.struct(*block, F.size("embedding").alias("_size"))).alias("block"), F.col(key).alias("key"), "embedding")
     counts = whole.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dealt = whole.join(counts, "block").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
-    kind = dealt.schema["key"].dataType.simpleString()
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        return pd.DataFrame([[*key, pdf["key"].tolist(), vectors.tobytes()]], columns=["block", "tile", "tiles", "keys", "vectors"])
-
-    return dealt.repartition("block", "tile").groupBy("block", "tile", "tiles").applyInPandas(pack, f"block string, tile int, tiles int, keys array<{kind}>, vectors binary")
+    tiles = dealt.groupBy("block", "tile", "tiles").agg(F.collect_list(F.struct("key", "embedding")).alias("x"))
+    return tiles.select("block", "tile", "tiles", F.transform("x", lambda x: x["key"]).alias("keys"), F.flatten(F.transform("x", lambda x: x["embedding"].cast("array<double>"))).alias("vectors"))
 
 
 def _unit(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
     keys = list(pdf["keys"].iloc[0])
-    vectors = np.frombuffer(pdf["vectors"].iloc[0], dtype=np.float64).reshape(len(keys), -1)
+    vectors = np.array(pdf["vectors"].iloc[0], dtype=np.float64).reshape(len(keys), -1)
     norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
     return keys, np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms != 0)
 

@@ -21,6 +21,7 @@ from palimpsest.functions.binding import let
 from palimpsest.functions.levels import LEVELS, level_name
 from palimpsest.plans.metadata import BOOLEAN, NUMBER, STRING, Lexeme, compare_number, elements, equal_to, is_string, marked, marked_scalar, number_in, scalar, strict_loads, string_of, value_at
 
+#: Fixed: operator names, the longest list, and the format's largest count; field names below are too.
 OPERATORS = ("gt", "gte", "lt", "lte", "ne", "in", "contains", "icontains")
 ORDER = ("gt", "gte", "lt", "lte")
 MOST_ITEMS = 1_000

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.numbers import order_key, order_key_of
 from palimpsest.plans.filters import FilterError, compile_filter
 
+# Fixed: numbers and strings at the boundaries of the filter format.
 NUMBERS = ["0", "-0", "0.0", "1", "1.0", "10e-1", "-1", "5", "5.5", "1e2", "100", "79228162514264337593543950336", "79228162514264337593543950337", "1" + "0" * 40, "1e400", "-1e400", "1e-400", "-1e-400", "0.1", "0.10", "123456789.123456789"]
 
 
