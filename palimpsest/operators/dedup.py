@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -15,11 +13,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import content_hash
 from palimpsest.functions.text import is_richer as richer
 from palimpsest.operators import search
+from palimpsest.scratch import materialize
 
 MAX_DISTANCE = 0.05
 #: The words of functions.text.words().
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
-_OWN: dict[str, str] = {}
 _SCOPE = ["workspace", "observer", "observed", "session"]
 _OUTCOME = "workspace string, observer string, observed string, session string, position long, outcome string, id string, content string, embedding array<float>, source_ids array<string>"
 
@@ -71,28 +69,12 @@ def _same(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], most: float) ->
     return bool(norm) and 1 - float(a[1] @ b[1]) / norm**0.5 <= most
 
 
-def _held(frame: DataFrame) -> DataFrame:
-    """The same rows, computed once, in the folder that all executors share. A local session that
-    names none gets one of its own."""
-    spark = frame.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if spark.sparkContext.applicationId not in _OWN:
-            _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="palimpsest-fold-")
-        folder = _OWN[spark.sparkContext.applicationId]
-    path = f"{folder}/palimpsest/fold-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def _components(links: DataFrame) -> DataFrame:
     """(node, label) for the nodes of links (a, b): the least node that each one reaches."""
-    both = _held(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, before = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), None
+    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "fold-links")
+    labels, before, last = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), None, None
     while True:
-        labels = _held(labels)
+        labels = last = materialize(labels, "fold-labels", last)
         now = labels.agg(F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")).alias("x")).first()["x"]
         if now == before:
             return labels
@@ -136,12 +118,12 @@ def fold(facts: DataFrame, most: float = MAX_DISTANCE) -> DataFrame:
     if links of equal texts and near vectors connect them. Texts that no link leaves are folded by
     aggregates; the order matters, and likeness isn't transitive, only among facts that links
     connect, and each such group goes through one task."""
-    facts = _held(facts.withColumn("_scope", F.to_json(F.struct(*_SCOPE))))
+    facts = materialize(facts.withColumn("_scope", F.to_json(F.struct(*_SCOPE))), "fold-facts")
     waiting = facts.where("match_id IS NULL").withColumn("node", F.concat_ws(" ", F.sha2("_scope", 256), F.coalesce(F.sha2("content", 256), F.lit("-"))))
-    vectors = _held(waiting.groupBy("_scope", "node", "embedding").agg(F.lit(1).alias("one")))
+    vectors = materialize(waiting.groupBy("_scope", "node", "embedding").agg(F.lit(1).alias("one")), "fold-vectors")
     labels = _components(search.linked(vectors, ["_scope"], most, "node"))
     several = vectors.groupBy("node").agg(F.count("one").alias("n")).where("n > 1").select("node", F.col("node").alias("label"))
-    groups = _held(labels.unionByName(several.join(labels, "node", "left_anti")))
+    groups = materialize(labels.unionByName(several.join(labels, "node", "left_anti")), "fold-groups")
     alone = waiting.join(groups, "node", "left_anti").groupBy("node", *_SCOPE).agg(F.min("position").alias("position"), F.first("content").alias("content"), F.first("embedding").alias("embedding"), F.array_sort(F.collect_list(F.struct("position", "source_ids"))).alias("x"))
     none = F.array().cast("array<string>")
     sources = F.array_distinct(F.flatten(F.transform("x", lambda x: F.coalesce(x["source_ids"], none))))
