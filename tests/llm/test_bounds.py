@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from helpers import SF, frame_of, union_find, write_documents
+from helpers import frame_of, union_find, write_documents
 from test_contracts import brute_vectors, rows_of, shingles
 
 from palimpsest.llm import embedding_dedup, ngram_join
