@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import content_hash
+from palimpsest.functions.text import content_hash, upper_of
 from palimpsest.functions.text import is_richer as richer
 from palimpsest.operators import search
 from palimpsest.scratch import materialize
@@ -57,7 +57,7 @@ def match_existing(facts: DataFrame, rows: DataFrame, most: float = MAX_DISTANCE
 def is_richer(new: str, old: str) -> bool:
     """functions.text.is_richer() inside a task."""
     longer = len(new.encode("utf-16-le")) > len(old.encode("utf-16-le"))
-    return longer and {x.upper() for x in _WORD.findall(old)} <= {x.upper() for x in _WORD.findall(new)}
+    return longer and {upper_of(x) for x in _WORD.findall(old)} <= {upper_of(x) for x in _WORD.findall(new)}
 
 
 def _same(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], most: float) -> bool:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.binding import let
 from palimpsest.functions.levels import LEVELS, level_name
+from palimpsest.functions.text import upper
 from palimpsest.plans.metadata import BOOLEAN, NUMBER, STRING, Lexeme, compare_number, elements, equal_to, is_string, marked, marked_scalar, number_in, scalar, strict_loads, string_of, value_at
 
 #: Fixed: operator names, the longest list, and the format's largest count; field names below are too.
@@ -188,7 +189,7 @@ def _compare(name: str, field: Field, op: str, raw) -> Column:
         op = {"eq": "none", "ne": "all", "gte": "gt", "lt": "lte"}.get(op, op)
     tests = {
         "eq": lambda c: c == value, "ne": lambda c: c == value, "gt": lambda c: c > value, "gte": lambda c: c >= value, "lt": lambda c: c < value, "lte": lambda c: c <= value,
-        "contains": lambda c: F.contains(c, value), "icontains": lambda c: F.contains(F.upper(c), F.upper(value)), "none": lambda c: F.lit(False),
+        "contains": lambda c: F.contains(c, value), "icontains": lambda c: F.contains(upper(c), upper(value)), "none": lambda c: F.lit(False),
     }
     if op == "all":
         return F.lit(True)
@@ -318,7 +319,7 @@ def _key_operator(path: list[str], op: str, operand) -> Callable[[Column], Colum
         return among
     if op in ("contains", "icontains"):
         text = F.lit(str(_scalar(path, operand, (STRING,))))
-        fold = F.upper if op == "icontains" else lambda c: c
+        fold = upper if op == "icontains" else lambda c: c
         inside = lambda v: is_string(v) & F.contains(fold(string_of(v)), fold(text))
         listed = lambda v: F.exists(elements(v), lambda x: _known(is_string(x) & (fold(string_of(x)) == fold(text))))
         return lambda v: _known(inside(v)) | _known(listed(v))

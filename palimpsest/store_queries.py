@@ -509,7 +509,7 @@ SELECT id, length(content) > length(before) AND list_has_all(a, b) AS richer, le
 def richer_than_before(spark, sf_dir):
     before = F.lag("content").over(Window.partitionBy("session").orderBy("seq"))
     rows = V.messages(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL")
-    return rows.select("id", X.is_richer(F.col("content"), F.col("before")).alias("richer"), F.size(X.words(F.col("content"))).cast("bigint").alias("n_words"))
+    return rows.select("id", X.is_richer(F.col("content"), F.col("before"), F.length).alias("richer"), F.size(X.words(F.col("content"))).cast("bigint").alias("n_words"))
 
 
 @query("SELECT c_custkey AS id, regexp_full_match(c_name, '[A-Za-z0-9_-]{1,512}') AS named, regexp_full_match(replace(c_name, '#', '-'), '[A-Za-z0-9_-]{1,512}') AS plain, length(c_name) <= 17 AS short FROM customer")

@@ -8,6 +8,7 @@ from palimpsest.functions import text as X
 from palimpsest.functions.vectors import cosine_distance, deterministic_embedding
 from palimpsest.operators import dedup, members, observe, paging, represent, search, transcript
 from palimpsest.operators import work_queue as Q
+from palimpsest.plans.filters import compile_filter
 from palimpsest.sources import log
 
 NOW = "2024-06-01 00:00:00"
@@ -30,6 +31,18 @@ def test_text_functions(spark):
     assert got["h"] == hashlib.sha256("a".encode("utf-16-le")).hexdigest()
 
 
+def test_each_letter_has_one_upper_case(spark):
+    texts = ["weiß WEISS weiẞ ßß", "ŉ ﬁ fi ᾳ ᾼ αι", "\U0001f600ß", "", None, "abc é"]
+    want = ["WEIẞ WEISS WEIẞ ẞẞ", "ŉ ﬁ FI ᾼ ᾼ ΑΙ", "\U0001f600ẞ", "", None, "ABC É"]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r["u"] for r in frame.select("i", X.upper(F.col("t")).alias("u")).collect()] == want
+    assert [None if x is None else X.upper_of(x) for x in texts] == want
+    assert {r["n"] for r in frame.where("i = 0").select(F.size(X.words(F.col("t"))).alias("n")).collect()} == {3}
+    assert not dedup.is_richer("weiss und mehr", "weiß") and dedup.is_richer("WEIẞ und mehr", "weiß")
+    said = spark.createDataFrame([("weiß",), ("WEISS",)], "content string")
+    assert [r["content"] for r in said.where(compile_filter('{"content": {"icontains": "ss"}}', "message")).collect()] == ["WEISS"]
+
+
 def test_keys_and_configuration(spark):
     got = spark.range(1).select(K.work_unit_key(F.lit("w"), F.lit("a b"), F.lit("p")).alias("k"), K.resolve(("m", F.lit(None).cast("int")), ("s", F.lit(2))).alias("c"), K.json_flag(F.lit('{"observe_me": false}'), "observe_me").alias("f"), K.json_flag(F.lit('{"observe_me": "false"}'), "observe_me").alias("g"), K.backoff_seconds(F.lit(3)).alias("b"), K.backoff_seconds(F.lit(30)).alias("most"), K.valid_id(F.lit("a b")).alias("v")).first()
     assert got["k"] == "representation:w:~8787cc9dfd0216ba87644d9029ea5523:p"  # the hash of UTF-16LE bytes
