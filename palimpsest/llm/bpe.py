@@ -4,7 +4,8 @@ A text is cut before single spaces between other characters. The vocabulary's pr
 joins across such a cut, so the ids of a text are those of its units laid end to end, and a unit
 that occurs often is encoded once. Units of common characters go to tiktoken, which holds the same
 vocabulary and is faster; units with any other character go to the tokenizers library itself, as
-the two libraries' Unicode tables may differ there.
+the two libraries' Unicode tables may differ there. A text of common characters alone goes to
+tiktoken as it is, which takes less time than to look its units up.
 """
 
 from __future__ import annotations
@@ -60,6 +61,9 @@ class UnitCodec:
 
     def packed(self, text: str, end: bytes = b"") -> np.ndarray:
         """The ids of a text, then those in ``end``, as little-endian unsigned 32-bit integers."""
+        if not _RARE.search(text):
+            ids = self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+            return np.frombuffer(ids.tobytes() + end, dtype="<u4")
         known, parts = self.known, []
         for unit in units(text):
             if (ids := known.get(unit)) is None:

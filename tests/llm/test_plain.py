@@ -220,3 +220,15 @@ def test_secrets_in_a_text_of_very_many(spark, tmp_path):
 
     spans = sorted((m.start(), k, name, m.end()) for k, (name, shape, ok) in enumerate(KINDS) for m in shape.finditer(text) if ok(m))
     assert got["base_sha256"][0] == hashlib.sha256(",".join(f"{name}:{a}:{b}" for a, _, name, b in spans).encode()).hexdigest()
+
+
+def test_common_texts_are_encoded_whole():
+    """No unit of them is looked up (op7_packing's budget); their ids are the library's."""
+    codec, r = UnitCodec(), random.Random(11)
+    parts = ["a", "the", " the", "  ", " ", "\n", " \n ", "\t", "'s", "'LL", "é", "ß", "ǅ", "12", " 3", "...", "$$$", "—", "\x00", "\x85", "\xa0", "<|endoftext|>", "<|endof", "Wort"]
+    for _ in range(2000):
+        text = "".join(r.choices(parts, k=r.randint(0, 30)))
+        assert codec.packed(text, b"\0\0\0\0").tolist() == [*codec.whole.encode(text, add_special_tokens=False).ids, 0], repr(text)
+    assert not codec.known
+    text = " ".join(["the 漢字\u2009 of"] * 3)
+    assert codec.packed(text).tolist() == codec.whole.encode(text, add_special_tokens=False).ids and codec.known
