@@ -48,7 +48,7 @@ def match_existing(facts: DataFrame, rows: DataFrame, most: float = MAX_DISTANCE
     are the live explicit conclusions of committed batches."""
     exact = exact_matches(facts, rows, _SCOPE).withColumnRenamed("id", "exact_id")
     left = facts.join(exact, "fact_id", "left")
-    probes = left.where("exact_id IS NULL").select(F.col("fact_id").alias("probe"), *_SCOPE, "embedding")
+    probes = materialize(left.where("exact_id IS NULL").select(F.col("fact_id").alias("probe"), *_SCOPE, "embedding"), "fold-probes")
     near = search.nearest(probes, rows.where("embedding IS NOT NULL"), _SCOPE, most).select(F.col("probe").alias("fact_id"), F.col("id").alias("near_id"))
     left = left.join(near, "fact_id", "left").withColumn("match_id", F.coalesce("exact_id", "near_id")).drop("exact_id", "near_id")
     return left.join(rows.select(F.col("id").alias("match_id"), F.col("content").alias("match_content")), "match_id", "left")

@@ -13,6 +13,7 @@ from palimpsest.operators import dedup, members, observe, paging, represent, sea
 from palimpsest.operators import work_queue as Q
 from palimpsest.plans.filters import compile_filter
 from palimpsest.registry import QUERIES, SQL, query
+from palimpsest.scratch import materialize
 from palimpsest.sources import log, views as V
 
 NOW = f"TIMESTAMP '{V.NOW}'"
@@ -387,7 +388,7 @@ def fact_routing_rooms(spark, sf_dir):
 def dedup_fold(spark, sf_dir):
     """Facts are the odd documents, matched with the even ones of the same source and language."""
     rows = V.text_conclusions(spark, sf_dir).select(F.col("id").cast("string").alias("id"), F.lit("w").alias("workspace"), F.col("collection").alias("observer"), F.col("collection").alias("observed"), "session", "content", "level")
-    rows = rows.withColumn("embedding", embed(F.col("content"), 64))
+    rows = materialize(rows.withColumn("embedding", embed(F.col("content"), 64)), "fold-rows")  # each text is embedded once
     facts = rows.where("id % 2 = 1").select(F.col("id").alias("fact_id"), *dedup._SCOPE, "content", "embedding", F.col("id").cast("bigint").alias("position"), F.array("id").alias("source_ids"))
     matched = dedup.match_existing(facts, rows.where("id % 2 = 0"))
     return dedup.fold(matched).select("observer", "session", "position", "outcome", "id", F.size("source_ids").alias("n_sources"))

@@ -112,3 +112,11 @@ def test_unlike_facts_of_a_scope_do_not_meet_in_one_group(spark):
     assert got.count() == 40
     groups = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "FlatMapGroupsInPandas" in x]
     assert groups and not [x for x in groups if "FlatMapGroupsInPandas [workspace" in x]
+
+
+def test_a_text_is_embedded_once_for_the_fold(spark, monkeypatch):
+    matched = []
+    monkeypatch.setattr(dedup, "fold", lambda facts: matched.append(facts) or facts.withColumns({"outcome": dedup.F.lit("insert"), "id": dedup.F.lit("")}))
+    QUERIES["dedup_fold"](spark, SF)
+    plan = matched[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "ArrowEvalPython" not in plan  # vectors are read, not made anew by each branch
