@@ -50,6 +50,13 @@ def _unit(pdf: pd.DataFrame) -> tuple[list, np.ndarray]:
     return keys, np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms != 0)
 
 
+def _close(cosine: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have any distance within ``most``, and their distances; most rows have none
+    and are passed once."""
+    at = np.flatnonzero(1 - np.fmax.reduce(cosine, axis=1) <= most + SLACK)
+    return at, 1 - cosine[at]
+
+
 def nearest(probes: DataFrame, rows: DataFrame, block: list[str], most: float, key: str = "id", apart: bool = False) -> DataFrame:
     """For each probe (probe, block columns, embedding) the nearest row of its block within
     ``most``, ties by key: (probe, key, distance). All pairs are compared, a tile of probes with a
@@ -68,11 +75,13 @@ def nearest(probes: DataFrame, rows: DataFrame, block: list[str], most: float, k
         if len(one) and len(other):
             (ids, u), (others, v) = _unit(one), _unit(other)
             for i in range(0, len(ids), 512):
-                distance = 1 - u[i : i + 512] @ v.T
+                at, distance = _close(u[i : i + 512] @ v.T, most)
+                if not len(at):
+                    continue
                 if apart:
-                    distance[np.array(ids[i : i + 512], dtype=object)[:, None] == np.array(others, dtype=object)] = np.inf
+                    distance[np.array(ids[i : i + 512], dtype=object)[at, None] == np.array(others, dtype=object)] = np.inf
                 near = distance <= np.minimum(most, np.nanmin(np.where(np.isnan(distance), np.inf, distance), axis=1))[:, None] + SLACK
-                found += [(ids[i + x], others[y]) for x, y in np.argwhere(near)]
+                found += [(ids[i + at[x]], others[y]) for x, y in np.argwhere(near)]
         return pd.DataFrame(found, columns=["probe", "_key"], dtype=object)
 
     pairs = a.groupBy("block", "l", "r").cogroup(b.groupBy("block", "l", "r")).applyInPandas(compare, f"probe {kinds[0]}, _key {kinds[1]}")
@@ -94,7 +103,10 @@ def linked(rows: DataFrame, block: list[str], most: float, key: str = "id") -> D
     def compare(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         (ids, u), (others, v) = _unit(one), _unit(other)
         left, free, found = np.ones(len(ids), dtype=bool), np.ones(len(others), dtype=bool), []
-        near = np.concatenate([1 - u[i : i + 512] @ v.T <= most + SLACK for i in range(0, len(ids), 512)])
+        near = np.zeros((len(ids), len(others)), dtype=bool)
+        for i in range(0, len(ids), 512):
+            at, distance = _close(u[i : i + 512] @ v.T, most)
+            near[i + at] = distance <= most + SLACK
         for start in np.flatnonzero(near.any(axis=1)):
             todo = [start] if left[start] else []
             left[start] = False

@@ -120,3 +120,9 @@ def test_a_text_is_embedded_once_for_the_fold(spark, monkeypatch):
     QUERIES["dedup_fold"](spark, SF)
     plan = matched[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "ArrowEvalPython" not in plan  # vectors are read, not made anew by each branch
+
+
+def test_tiles_pass_rows_that_are_near_nothing():
+    cosine = dedup.np.array([[0.1, 0.2], [0.99, float("nan")], [float("nan")] * 2, [-1.0, 0.95]])
+    at, distance = search._close(cosine, 0.05)
+    assert at.tolist() == [1, 3] and distance[1].tolist() == [2.0, 1 - 0.95]
