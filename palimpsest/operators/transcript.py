@@ -101,10 +101,12 @@ def valid_facts(facts: DataFrame, targets: DataFrame) -> DataFrame:
 def route_facts(facts: DataFrame, observers: DataFrame) -> DataFrame:
     """(fact_id, observer): a fact goes to the observers that saw every one of its sources.
     observers: (id, observers) by message; source_ids are distinct. Lists of observers are met with
-    one another; a row for each observer is made only of what is left."""
+    one another; a row for each observer is made only of what is left. Rows go to their fact before
+    lists are gathered: a fact's sources rarely lie in one partition, so gathering them there first
+    would sort all lists and shorten nothing."""
     seen = observers.select(F.col("id").alias("source_id"), "observers")
     each = facts.select("fact_id", F.size("source_ids").alias("n"), F.explode("source_ids").alias("source_id"))
-    lists = each.join(seen, "source_id").groupBy("fact_id", "n").agg(F.collect_list("observers").alias("x")).where(F.size("x") == F.col("n"))
+    lists = each.join(seen, "source_id").repartition("fact_id").groupBy("fact_id", "n").agg(F.collect_list("observers").alias("x")).where(F.size("x") == F.col("n"))
     common = F.aggregate(F.slice("x", 2, F.col("n")), F.col("x")[0], F.array_intersect)
     return lists.select("fact_id", F.explode(common).alias("observer")).where("observer IS NOT NULL")
 
